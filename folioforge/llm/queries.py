@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module of this package for each operator, in the operators' order.
-MODULES = ("bpe", "quality", "decontam", "near_dedup", "line_dedup")
+MODULES = ("bpe", "quality", "decontam", "chat", "license_scan", "substring_dedup", "toxicity", "near_dedup", "secret_scan", "line_dedup")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
