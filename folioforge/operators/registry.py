@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.sources.tables import table
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from folioforge.operators import dedup  # noqa: F401
+    from folioforge.operators import dedup, ingest, scalar  # noqa: F401
 
 
 _load()
