@@ -2,7 +2,7 @@
 
 Two small collections of ``BANDS`` half keys, each of ``ROWS`` minhashes, are computed per document; every pair (i, j)
 of half keys, one of each collection, is a table key. That gives BANDS² tables of 2·ROWS minhashes from 2·BANDS·ROWS
-minhash functions (100 tables from 60 functions, where plain banding would take 600). A pair of Jaccard similarity s
+minhash functions (196 tables from 84 functions, where plain banding would take 1,176). A pair of Jaccard similarity s
 shares a key with probability (1 - (1 - s^ROWS)^BANDS)².
 
 Candidates are verified on their shingle sets. Texts with the same words collapse first; then each bucket links its
@@ -23,7 +23,7 @@ from folioforge.llm.textblock import U, Words, grams, inside, list_array, mix, p
 from folioforge.plans.components import connected_components
 from folioforge.plans.lineage import shared_table
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 3, 10, 3, 0.6
+SHINGLE, BANDS, ROWS, THRESHOLD = 3, 14, 3, 0.5
 #: Node ids up to this many (16 MB) are broadcast to select texts to verify; beyond, both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
