@@ -197,7 +197,7 @@ def encode(docs: DataFrame, path: str = RANKS, dictionary: int = DICTIONARY) ->
     The result doesn't depend on ``dictionary``, the bound of what is broadcast.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 5000)
+    arrow_rows(spark, 1000)
     split = docs.select(F.col("doc_id"), F.col("text").isNull().alias("none"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0)).alias("words"))
     each = split.select(F.explode("words").alias("word"))
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= FOLD_BYTES))
