@@ -27,8 +27,10 @@ from folioforge.llm.textblock import list_array
 from folioforge.plans.lineage import shared_table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Splits a text into words before the merges; (?U) makes \\s cover all white space, as the vocabulary's authors have it.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Splits a text into words before the merges, as the vocabulary's authors have it: \\s covers all Unicode white space; letters are tried
+#: first, as no contraction starts with one, and what can't match in another way doesn't backtrack.
+_S = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+PATTERN = rf" ?+\p{{L}}++|'(?:[stmd]|re|ve|ll)| ?+\p{{N}}++| ?+[^{_S}\p{{L}}\p{{N}}]++|[{_S}]+(?![^{_S}])|[{_S}]++"
 #: Most frequent words whose ids are kept on the driver and broadcast (some 50 MB); all other words are folded in place.
 DICTIONARY = 1_000_000
 #: The fold takes time in the square of a word's bytes; longer words are merged with a heap, in n log n.
@@ -223,17 +225,20 @@ def encode(docs: DataFrame, path: str = RANKS, dictionary: int = DICTIONARY) ->
     return out.select("doc_id", "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"))
 
 
-def decode(ids: Column, path: str = RANKS) -> Column:
-    """The text of token ids: the tokens' bytes, each a piece of hexadecimal, joined and read as UTF-8.
-
-    Bytes that are not UTF-8 become replacement characters; null gives null, no ids an empty text.
-    """
+def decode_bytes(ids: Column, path: str = RANKS) -> Column:
+    """The bytes of token ids: the tokens' bytes as pieces of Latin-1 text, a letter a byte, joined in one go (a fold of
+    ``concat`` over binaries would copy the text once a token)."""
     ranks = load_ranks(path)
     tokens = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        tokens[rank] = token.hex()
-    piece = F.split(F.lit(",".join(tokens)), ",")
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(piece, i)), "")), "UTF-8")
+        tokens[rank] = token.decode("latin-1")
+    piece = F.split(F.lit("\u0100".join(tokens)), "\u0100")  # a letter that Latin-1 doesn't have parts the pieces
+    return F.encode(F.array_join(F.transform(ids, lambda i: piece.getItem(i)), ""), "ISO-8859-1")
+
+
+def decode(ids: Column, path: str = RANKS) -> Column:
+    """The text of token ids. Bytes that are not UTF-8 are an error, as Spark's ``decode`` has it; null gives null, no ids an empty text."""
+    return F.decode(decode_bytes(ids, path), "UTF-8")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,9 +248,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_checked(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """``encode`` with ``sha``, the SHA-256 of the decoded text, which equals that of the text (null for a null text)."""
+    """``encode`` with ``sha``, the SHA-256 of the decoded bytes, which equals that of the text (null for a null text)."""
     out = encode(docs, path)
-    return out.withColumn("sha", F.sha2(F.encode(decode(F.col("token_ids"), path), "UTF-8"), 256))
+    return out.withColumn("sha", F.sha2(decode_bytes(F.col("token_ids"), path), 256))
 
 
 QUERIES = {"op1_bpe": op1_bpe}
