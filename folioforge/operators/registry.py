@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from folioforge.operators import aggregate, curate, dedup, ingest, links, resolve, scalar  # noqa: F401
+    from folioforge.operators import aggregate, curate, dedup, ingest, links, preserve, render, resolve, scalar, state  # noqa: F401
 
 
 _load()
