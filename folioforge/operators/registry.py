@@ -19,9 +19,3 @@ def query(name: str, sql: str | None = None):
 
     return keep
 
-
-def _load() -> None:
-    from folioforge.operators import aggregate, curate, dedup, ingest, links, preserve, render, resolve, scalar, state  # noqa: F401
-
-
-_load()
