@@ -78,12 +78,24 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
     return np.concatenate([d1, d2]), np.concatenate([x1, x2]), w
 
 
-def induce(texts: list[str], toxic: np.ndarray) -> list[np.ndarray]:
+def _features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``_features`` of many texts, a slice of them at a time, so that the driver holds little more than the result."""
+    docs, hashes, at = [], [], 0
+    batch = pa.RecordBatch.from_arrays([texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts], ["text"])
+    for part in pieces([batch], most=1 << 20):
+        d, x, _ = _features(part.column("text"))
+        docs.append((d + at).astype(np.int32))
+        hashes.append(x)
+        at += part.num_rows
+    return (np.concatenate(docs), np.concatenate(hashes)) if docs else (np.zeros(0, np.int32), np.zeros(0, U))
+
+
+def induce(texts: pa.Array, toxic: np.ndarray) -> list[np.ndarray]:
     """INDUCED_VOTERS sorted arrays of hashes of words and stems that occur with toxic labels far more than by chance."""
     empty = [np.zeros(0, U)] * INDUCED_VOTERS
     if not len(texts) or toxic.all() or not toxic.any():
         return empty
-    d, x, _ = _features(pa.array(texts, pa.string()))
+    d, x = _features_of(texts)
     keys, at = np.unique(x, return_inverse=True)
     pos = np.bincount(at, toxic[d].astype(float), len(keys))
     neg = np.bincount(at, 1.0 - toxic[d], len(keys))
@@ -207,14 +219,15 @@ class LabelModel:
         self.groups = list(roots.values())
 
 
-def train_linear(texts: list[str], target: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+def train_linear(texts: pa.Array, target: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights of 2^BITS hashed words and stems, and intercept: logistic regression on posterior labels, with words that
     don't tell the halves apart (|z| < 4) left out."""
     weights, bias = np.zeros(1 << BITS), -3.0
     if not len(texts) or target.max() < 0.5:
         return weights, bias
-    d, x, _ = _features(pa.array(texts, pa.string()))
-    slot = (x >> U(64 - BITS)).astype(np.int64)
+    d, x = _features_of(texts)
+    slot = (x >> U(64 - BITS)).astype(np.int32)
+    del x
     p = np.bincount(slot, target[d], 1 << BITS)
     n = np.bincount(slot, minlength=1 << BITS).astype(float)
     rate = target.mean()
@@ -280,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], LabelMode
     chosen = F.broadcast(parts[0].union(parts[1]))  # INDUCTION_ROWS rows at most
     rows = texts.join(chosen, texts["doc_id"] == chosen["__id"]).select("doc_id", "text", "toxic").orderBy("doc_id", "text").toArrow()
     toxic = np.array(rows.column("toxic").to_pylist(), float) > 0.5
-    lexicons = [np.sort(_word_hash(v.split())) for v in LEXICONS.values()] + induce(rows.column("text").to_pylist(), toxic)
+    lexicons = [np.sort(_word_hash(v.split())) for v in LEXICONS.values()] + induce(rows.column("text"), toxic)
     m = len(lexicons) + 3
 
     voted = texts.mapInArrow(_voted(spark.sparkContext.broadcast(lexicons)), f"doc_id {dict(docs.dtypes)['doc_id']}, votes bigint")
@@ -298,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], LabelMode
     picked = F.broadcast(picked.select(F.col("doc_id").alias("__id"), "votes").dropDuplicates(["__id"]))
     train = texts.join(picked, texts["doc_id"] == picked["__id"]).select("doc_id", "text", "votes").orderBy("doc_id", "text").toArrow()
     target = np.array([post[v] for v in train.column("votes").to_pylist()], float)
-    return lexicons, model, train_linear(train.column("text").to_pylist(), target)
+    return lexicons, model, train_linear(train.column("text"), target)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
