@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import arrow_rows, table
 from folioforge.llm.textblock import U, Words, mix, pieces
+from folioforge.plans.lineage import shared_table
 
 #: Lexicon voters: each votes "toxic" where one of its words occurs.
 LEXICONS = {
@@ -297,6 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], LabelMode
     m = len(lexicons) + 3
 
     voted = texts.mapInArrow(_voted(spark.sparkContext.broadcast(lexicons)), f"doc_id {dict(docs.dtypes)['doc_id']}, votes bigint")
+    voted = shared_table(voted, "votes")  # read by the counts and both samples
     found = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2^voters rows, however large the corpus
     codes = np.array(sorted(r["votes"] for r in found), np.int64)
     n = {r["votes"]: r["n"] for r in found}
