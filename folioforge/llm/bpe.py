@@ -43,22 +43,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_NONE = 1 << 47
+#: The entry of no pair: of row 65535, which no vocabulary has.
+_NONE = 65535 << 16
+
+
+def _split(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces of a token when all merges of lower rank are done."""
+    parts, limit = [token[i : i + 1] for i in range(len(token))], ranks[token]
+    while True:
+        found = [(ranks.get(parts[i] + parts[i + 1], limit), i) for i in range(len(parts) - 1)]
+        low, i = min(found, default=(limit, 0))
+        if low >= limit:
+            return parts
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
 @functools.lru_cache(maxsize=4)
 def _pairs(path: str) -> tuple[list[int], list[int]]:
-    """Shifts of the rows, slots."""
+    """Shifts of the rows, slots.
+
+    Merges go by rank and never take a boundary back, so when a token's merge has its turn its bytes stand as they would
+    without their neighbours: as two pieces, always the same. That pair is its only entry.
+    """
     ranks = load_ranks(path)
     size = max(ranks.values()) + 1
-    if size > 1 << 16:
-        raise ValueError("ids must fit 16 bits")
+    if size >= 1 << 16:
+        raise ValueError("ids must be below 65535")
     rows: dict[int, dict[int, int]] = {}
     for token, rank in ranks.items():
-        for i in range(1, len(token)):
-            a, b = ranks.get(token[:i]), ranks.get(token[i:])
-            if a is not None and b is not None:
-                rows.setdefault(a, {})[b] = rank
+        if len(token) > 1 and len(parts := _split(token, ranks)) == 2:
+            rows.setdefault(ranks[parts[0]], {})[ranks[parts[1]]] = rank
     n = sum(map(len, rows.values()))
     slots, free, shifts = np.full(4 * n + 4 * size, _NONE, np.int64), np.ones(4 * n + 4 * size, bool), [0] * size
     for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
@@ -98,7 +112,7 @@ def fold(word: Column, path: str = RANKS) -> Column:
     none = F.lit(65536).cast("bigint")
 
     def ranked(a: Column, b: Column) -> Column:
-        """The merged id; 65536 or more where the pair has none, as the slot then holds another row's entry."""
+        """The merged id; 65536 or more where the pair has none, as the slot then holds another row's entry, or none."""
         return slot.getItem(shift.getItem(a) + b).bitwiseXOR(F.shiftleft(a, 16))
 
     def step(acc: Column, _: Column) -> Column:
@@ -200,6 +214,7 @@ def encode(docs: DataFrame, path: str = RANKS, dictionary: int = DICTIONARY) ->
     """
     spark = docs.sparkSession
     arrow_rows(spark, 1000)
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000")  # the literals would fill the driver's records of plans
     split = docs.select(F.col("doc_id"), F.col("text").isNull().alias("none"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0)).alias("words"))
     each = split.select(F.explode("words").alias("word"))
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= FOLD_BYTES))
