@@ -31,8 +31,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: first, as no contraction starts with one, and what can't match in another way doesn't backtrack.
 _S = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 PATTERN = rf" ?+\p{{L}}++|'(?:[stmd]|re|ve|ll)| ?+\p{{N}}++| ?+[^{_S}\p{{L}}\p{{N}}]++|[{_S}]+(?![^{_S}])|[{_S}]++"
-#: Most frequent words whose ids are kept on the driver and broadcast (some 50 MB); all other words are folded in place.
-DICTIONARY = 1_000_000
+#: Most frequent words whose ids are kept on the driver and broadcast (some 60 MB); all other words are folded in place.
+DICTIONARY = 2_000_000
 #: The fold takes time in the square of a word's bytes; longer words are merged with a heap, in n log n.
 FOLD_BYTES = 64
 
@@ -113,22 +113,23 @@ def fold(word: Column, path: str = RANKS) -> Column:
 
     def ranked(a: Column, b: Column) -> Column:
         """The merged id; 65536 or more where the pair has none, as the slot then holds another row's entry, or none."""
-        return slot.getItem(shift.getItem(a) + b).bitwiseXOR(F.shiftleft(a, 16))
+        return slot[shift[a] + b].bitwiseXOR(F.shiftleft(a, 16))
 
     def step(acc: Column, _: Column) -> Column:
-        ranks = F.transform(acc, lambda a, i: ranked(a, F.get(acc, i + 1)))  # the last has no neighbour: null
-
         def join(x: Column) -> Column:
             low = F.array_min(x)
             at = F.array_position(x, low)
-            return F.when(low < none, F.filter(F.transform(acc, lambda a, i: F.when(i == at - 1, low).otherwise(a)), lambda _a, i: i != at)).otherwise(acc)
+            merged = F.filter(F.transform(acc, lambda a, i: F.when(i == at - 1, low).otherwise(a)), lambda _a, i: i != at)
+            return F.when(low < none, merged).otherwise(F.transform(acc, lambda a: -a - 1))  # done: all ids negative
 
-        return F.when(F.size(acc) < 2, acc).otherwise(_let(ranks, join))
+        ranks = F.transform(acc, lambda a, i: ranked(a, F.get(acc, i + 1)))  # the last has no neighbour: null
+        return F.when(F.get(acc, F.lit(0)) < 0, acc).otherwise(_let(ranks, join))
 
     chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    start = F.transform(chars, lambda c: byte.getItem(F.ascii(c)))
+    start = F.transform(chars, lambda c: byte[F.ascii(c)])
     steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-    return F.aggregate(steps, start, step).cast("array<int>")
+    finish = lambda acc: F.transform(acc, lambda a: F.when(a < 0, -a - 1).otherwise(a).cast("int"))
+    return F.aggregate(steps, start, step, finish)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -235,8 +236,9 @@ def encode(docs: DataFrame, path: str = RANKS, dictionary: int = DICTIONARY) ->
     shared = spark.sparkContext.broadcast((words.cast(pa.string()), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), length))
     kind = dict(docs.dtypes)["doc_id"]
     looked = split.mapInArrow(_lookup(shared, path), f"doc_id {kind}, none boolean, known array<array<int>>, unknown array<string>")
-    placed = F.zip_with("known", F.transform("unknown", lambda x: fold(x, path)), lambda a, b: F.concat(a, F.coalesce(b, F.array().cast("array<int>"))))
-    out = looked.select("doc_id", F.when(~F.col("none"), F.flatten(placed)).alias("token_ids"))
+    # each run of known ids, then the unknown word after it (none after the last run)
+    placed = F.zip_with("known", F.transform("unknown", lambda x: fold(x, path)), lambda a, b: F.array(a, F.coalesce(b, F.array().cast("array<int>"))))
+    out = looked.select("doc_id", F.when(~F.col("none"), F.flatten(F.flatten(placed))).alias("token_ids"))
     return out.select("doc_id", "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"))
 
 
@@ -248,7 +250,7 @@ def decode_bytes(ids: Column, path: str = RANKS) -> Column:
     for token, rank in ranks.items():
         tokens[rank] = token.decode("latin-1")
     piece = F.split(F.lit("\u0100".join(tokens)), "\u0100")  # a letter that Latin-1 doesn't have parts the pieces
-    return F.encode(F.array_join(F.transform(ids, lambda i: piece.getItem(i)), ""), "ISO-8859-1")
+    return F.encode(F.array_join(F.transform(ids, lambda i: piece[i]), ""), "ISO-8859-1")
 
 
 def decode(ids: Column, path: str = RANKS) -> Column:
