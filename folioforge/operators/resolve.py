@@ -39,9 +39,6 @@ def _edges(pairs: DataFrame, into: Column, signal: str) -> DataFrame:
     return out.select(other.alias("from"), "into", F.lit(signal).alias("signal"), "a_pos", "b_pos")
 
 
-A, B = F.col, F.col  # names for readability in the rules below
-
-
 def transliteration(c: DataFrame, lang: str) -> DataFrame:
     """Equal once digraphs are collapsed; the slug that spells them out survives, else the lesser."""
     k = c.where(F.length("slug") >= 6).select(T.transliteration_canonical("slug", lang).alias("key"), "pos", "slug")
@@ -77,14 +74,17 @@ def abbreviation(c: DataFrame, corpus: DataFrame, lang: str) -> DataFrame:
 
 def edit_distance(c: DataFrame) -> DataFrame:
     """One or two edits between slugs of ten letters or more that agree in at least half their letters from the start and
-    don't differ in digits only; the longer survives, the earlier at equal length. Five common letters are thus certain."""
-    k = c.where(F.length("slug") >= 10).select(F.substring("slug", 1, 5).alias("key"), "pos", "slug")
-    la, lb = F.length("a_slug"), F.length("b_slug")
-    half = F.ceil(F.least(la, lb) / 2).cast("int")
-    p = _pairs(k).where((F.abs(la - lb) <= 2) & (F.substr(F.col("a_slug"), F.lit(1), half) == F.substr(F.col("b_slug"), F.lit(1), half)))
-    p = p.where(F.levenshtein("a_slug", "b_slug", 2).between(1, 2))
-    p = p.where(F.regexp_replace("a_slug", r"\d", "") != F.regexp_replace("b_slug", r"\d", ""))
-    return _edges(p, F.when(lb > la, F.col("b_slug")).otherwise(F.col("a_slug")), "edit-distance")
+    don't differ in digits only; the longer survives, the earlier at equal length."""
+    base = c.where(F.length("slug") >= 10).select("pos", "slug", F.length("slug").alias("n"))
+    # blocks are (length of the shorter, its first half): a pair meets in one block only, and needs no distinct
+    keyed = base.withColumn("l", F.explode(F.array(*[F.col("n") - i for i in range(3)]))).where("l >= 10").withColumn("key", F.substr("slug", F.lit(1), F.ceil(F.col("l") / 2).cast("int")))
+    a = keyed.where("n = l").select("l", "key", F.col("pos").alias("x_pos"), F.col("slug").alias("x"))
+    b = keyed.select("l", "key", F.col("pos").alias("y_pos"), F.col("slug").alias("y"), F.col("n").alias("yn"))
+    p = a.join(b, ["l", "key"]).where((F.col("x") != F.col("y")) & ((F.col("yn") > F.col("l")) | (F.col("x_pos") < F.col("y_pos"))))
+    p = p.where(F.levenshtein("x", "y", 2).between(1, 2)).where(F.regexp_replace("x", r"\d", "") != F.regexp_replace("y", r"\d", ""))
+    into = F.when(F.col("yn") > F.col("l"), F.col("y")).otherwise(F.col("x"))
+    other = F.when(F.col("yn") > F.col("l"), F.col("x")).otherwise(F.col("y"))
+    return p.select(other.alias("from"), into.alias("into"), F.lit("edit-distance").alias("signal"), F.least("x_pos", "y_pos").alias("a_pos"), F.greatest("x_pos", "y_pos").alias("b_pos"))
 
 
 def indicator_form(c: DataFrame) -> DataFrame:
