@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import arrow_rows, table
+from folioforge.llm.near_dedup import shingles
 from folioforge.llm.textblock import U, Words, mix, pieces
 from folioforge.plans.lineage import shared_table
 
@@ -91,17 +92,41 @@ def _features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(docs), np.concatenate(hashes)) if docs else (np.zeros(0, np.int32), np.zeros(0, U))
 
 
+def thin(texts: pa.Array, hashes: int = 3) -> np.ndarray:
+    """Places of the texts that are no near copies of earlier ones: those that share none of a few minhashes of word
+    3-grams with a text that is kept. A text copied a thousand times would else pass its every word off as evidence."""
+    keep, at = [], 0
+    seen: list[set[int]] = [set() for _ in range(hashes)]
+    batch = pa.RecordBatch.from_arrays([texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts], ["text"])
+    for part in pieces([batch], most=1 << 20):
+        g, lengths = shingles(Words(part.column("text")))
+        ends = np.cumsum(lengths)
+        for i in np.flatnonzero(lengths).tolist():
+            own = g[ends[i] - lengths[i] : ends[i]]
+            low = [int(mix(own + U(j + 1)).min()) for j in range(hashes)]
+            if not any(x in s for x, s in zip(low, seen)):
+                keep.append(at + i)
+                for x, s in zip(low, seen):
+                    s.add(x)
+        at += part.num_rows
+    return np.array(keep, np.int64)
+
+
 def induce(texts: pa.Array, toxic: np.ndarray) -> list[np.ndarray]:
-    """INDUCED_VOTERS sorted arrays of hashes of words and stems that occur with toxic labels far more than by chance."""
+    """INDUCED_VOTERS sorted arrays of hashes of words and stems that occur with toxic labels nearly always, and more often
+    than any of so many words would by chance (a binomial tail, by its large deviation bound)."""
     empty = [np.zeros(0, U)] * INDUCED_VOTERS
-    if not len(texts) or toxic.all() or not toxic.any():
+    at = thin(texts)
+    toxic = toxic[at]
+    if not len(at) or toxic.all() or not toxic.any():
         return empty
-    d, x = _features_of(texts)
+    d, x = _features_of(texts.take(pa.array(at)))
     keys, at = np.unique(x, return_inverse=True)
     pos = np.bincount(at, toxic[d].astype(float), len(keys))
-    neg = np.bincount(at, 1.0 - toxic[d], len(keys))
-    p, q = (pos + 0.1) / (toxic.sum() + 0.2), (neg + 0.1) / ((~toxic).sum() + 0.2)
-    chosen = keys[(pos >= 3) & (p > 20 * q) & (pos > 9 * neg)]
+    n = np.bincount(at, minlength=len(keys)).astype(float)
+    rate, share = toxic.mean(), np.minimum(pos / n, 1 - 1e-9)
+    chance = n * (share * np.log(np.maximum(share, 1e-9) / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
+    chosen = keys[(n >= 3) & (share > 0.9) & (share > rate) & (chance > np.log(max(1, (n >= 3).sum())))]
     return [np.sort(chosen[mix(chosen) % U(INDUCED_VOTERS) == U(i)]) for i in range(INDUCED_VOTERS)]
 
 
@@ -220,11 +245,13 @@ class LabelModel:
         self.groups = list(roots.values())
 
 
-def train_linear(texts: pa.Array, target: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+def train_linear(texts: pa.Array, target: np.ndarray, prior: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights of 2^BITS hashed words and stems, and intercept: logistic regression on posterior labels, with words that
-    don't tell the halves apart (|z| < 4) left out."""
+    don't tell the halves apart (|z| < 4) left out. The intercept is set back from the sample's rate to ``prior``."""
     weights, bias = np.zeros(1 << BITS), -3.0
-    if not len(texts) or target.max() < 0.5:
+    at = thin(texts) if len(texts) else np.zeros(0, np.int64)
+    texts, target = texts.take(pa.array(at)), target[at]
+    if not len(at) or target.max() < 0.5:
         return weights, bias
     d, x = _features_of(texts)
     slot = (x >> U(64 - BITS)).astype(np.int32)
@@ -246,7 +273,8 @@ def train_linear(texts: pa.Array, target: np.ndarray, rounds: int = 300) -> tupl
         w -= 0.5 * gw / np.sqrt(vw + 1e-9)
         b -= 0.5 * gb / np.sqrt(vb + 1e-9)
     weights[names] = w
-    return weights, float(b)
+    odds = lambda p: np.log(p) - np.log1p(-p)
+    return weights, float(b + odds(np.clip(prior, 1e-4, 0.5)) - odds(np.clip(rate, 1e-4, 1 - 1e-4)))
 
 
 def score(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -313,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], LabelMode
     picked = F.broadcast(picked.select(F.col("doc_id").alias("__id"), "votes").dropDuplicates(["__id"]))
     train = texts.join(picked, texts["doc_id"] == picked["__id"]).select("doc_id", "text", "votes").orderBy("doc_id", "text").toArrow()
     target = np.array([post[v] for v in train.column("votes").to_pylist()], float)
-    return lexicons, model, train_linear(train.column("text"), target)
+    return lexicons, model, train_linear(train.column("text"), target, model.prior)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
