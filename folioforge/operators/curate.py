@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
 from itertools import groupby
 
@@ -131,6 +130,18 @@ def survivors(candidates: DataFrame, merges: DataFrame, drops: DataFrame, member
     return g.select(F.col("into").alias("slug"), "n", F.slice(F.flatten(F.transform("s", lambda x: x["samples"])), 1, k).alias("samples"), "on_disk")
 
 
+def compose_rounds(first: DataFrame, second: DataFrame, drops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merges (old, new) of two rounds, the second judging the survivors of the first, as one set of merges, and all drops.
+
+    Components go to the survivor of the last round; where that is dropped, all that it absorbed is dropped with it.
+    """
+    e = first.select(F.col("old").alias("from"), F.col("new").alias("into")).union(second.select("old", "new"))
+    merges, _ = collapse(e, lenient=True)
+    gone = drops.select("slug").distinct()
+    lost = merges.join(gone.select(F.col("slug").alias("new")), "new", "left_semi")
+    return merges.join(gone.select(F.col("slug").alias("new")), "new", "left_anti").select("old", "new"), gone.union(lost.select("old")).distinct()
+
+
 def denials(proposed: DataFrame, judged: DataFrame) -> DataFrame:
     """proposed(from, into) that judged(from, into, verdict) doesn't confirm; what is not judged is denied."""
     j = judged.select(F.least("from", "into").alias("a"), F.greatest("from", "into").alias("b"), "verdict")

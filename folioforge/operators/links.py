@@ -144,6 +144,16 @@ def proposal_ok(text: Column | str) -> Column:
     return (F.length(x) >= 200) & (F.regexp_count(x, F.lit(r"(?m)^#{1,6}\s")) >= 3)
 
 
+def validation_summary(broken_rows: DataFrame, orphan_rows: DataFrame, island_rows: DataFrame, citations: DataFrame, schema: DataFrame) -> DataFrame:
+    """``(check, n)`` of all checks, with nothing found as 0."""
+    named = {"broken links": broken_rows, "orphans": orphan_rows, "islands": island_rows, "citations": citations, "schema": schema}
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n") for name, df in named.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ---- queries: the universe is the slugs of the first word of each page's title, links are the hrefs
 
 _U = "select page_id, trim(regexp_replace(lower(string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ')[1]), '[^a-z0-9]+', '-', 'g'), '-') as slug from pages"

@@ -76,3 +76,10 @@ def curate(candidates: DataFrame, judge: Callable[[list[dict]], str]) -> list[tu
         except Exception:
             out.append((b, '{"merges": [], "drops": []}'))
     return out
+
+
+def curate_in_rounds(candidates: DataFrame, judge: Callable[[list[dict]], str], survivors: Callable[[list[tuple[int, str]]], DataFrame]) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    """Replies of two rounds: the buckets by themselves, then, if there was more than one, what survived of them (``survivors``
+    gives it from the replies, bucketed again), so that candidates of different buckets meet once."""
+    first = curate(candidates, judge)
+    return first, curate(survivors(first), judge) if len(first) > 1 else []

@@ -270,3 +270,23 @@ def test_seams(spark):
 
 def test_template():
     assert T.language_directive("en", "en") == "" and "da" in T.language_directive("da", "en")
+
+
+def test_rounds_compose(spark):
+    m = lambda *x: spark.createDataFrame(x, "old string, new string")
+    drops = spark.createDataFrame([("z",)], "slug string")
+    merges, gone = curate.compose_rounds(m(("a", "b"), ("x", "z")), m(("b", "c")), drops)
+    assert rows(merges) == [("a", "c"), ("b", "c")] and rows(gone) == [("x",), ("z",)]
+    seen = []
+    first, second = seams.curate_in_rounds(spark.createDataFrame([(0, "a"), (1, "b")], "bucket int, slug string"), lambda r: seen.append([x["slug"] for x in r]) or "{}", lambda replies: spark.createDataFrame([(0, "a"), (0, "b")], "bucket int, slug string"))
+    assert seen == [["a"], ["b"], ["a", "b"]] and len(first) == 2 and len(second) == 1
+
+
+def test_indexes(spark):
+    stats = render.folder_stats(spark.createDataFrame([("a/b/x.md",), ("a/y.md",), ("index.md",)], "path string"))
+    assert rows(stats) == [("", 3, 1, 1), ("a", 2, 1, 1), ("a/b", 1, 1, 0)]
+    assert {r.folder: r.level for r in render.write_order(stats, children_first=True).collect()} == {"": 0, "a": -1, "a/b": -2}
+    w = lambda *x: spark.createDataFrame(list(enumerate(x)), "pos int, wiki string")
+    assert not render.prose_is_stale(w("p", "q"), w("p", "q"), "text").collect()[0].stale and render.prose_is_stale(w("p"), w("q"), "text").collect()[0].stale
+    e = spark.createDataFrame([(1,)], "x int")
+    assert {r["check"]: r.n for r in links.validation_summary(e, e.limit(0), e, e, e).collect()} == {"broken links": 1, "orphans": 0, "islands": 1, "citations": 1, "schema": 1}
