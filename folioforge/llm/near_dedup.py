@@ -13,8 +13,11 @@ needs, and a bucket of thousands of copies costs thousands of verifications, not
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +60,12 @@ def _signatures(batches):
     for batch in pieces(batches):
         w = Words(batch.column("text"))
         g, lengths = shingles(w)
+        bare = np.flatnonzero((lengths == 0) & pc.is_valid(batch.column("text")).to_numpy(zero_copy_only=False))
+        if len(bare):  # no words to compare: equal to the same text only, and in no bucket
+            digests = b"".join(hashlib.md5(t.encode()).digest() for t in batch.column("text").take(pa.array(bare)).to_pylist())
+            f = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+            none = list_array(np.zeros(0, np.int64), np.zeros(len(bare), np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(bare)), pa.array(f[0].copy()), pa.array(f[1].copy()), none, none], ["id", "f1", "f2", "a", "b"])
         has = np.flatnonzero(lengths)
         ids = batch.column("doc_id").take(pa.array(has))
         if not len(has):
@@ -102,14 +111,14 @@ def duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """``(doc_id, group_id)`` of every document that has a near duplicate; ``group_id`` is the least doc_id of the group.
 
     A group is a connected component of pairs whose sets of word 3-grams have Jaccard similarity of at least
-    ``threshold``. Documents without words (null, empty, punctuation only) have no duplicates; a text of one or two words
-    matches only the same words. Rows without a doc_id take no part. Rows that repeat a doc_id count as one document.
+    ``threshold``. A text of one or two words matches only the same words, one without words (empty, punctuation only)
+    exactly the same text; null has no duplicates. Rows without a doc_id take no part. Rows that repeat a doc_id count as one document.
     Whole texts are compared, of any length; further columns are not looked at; an empty table gives an empty result.
     """
     arrow_rows(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     signed = texts.mapInArrow(_signatures, "id bigint, f1 bigint, f2 bigint, a array<bigint>, b array<bigint>")
-    # one row for each distinct sequence of words; equal words have equal a and b
+    # one row for each distinct sequence of words (or text without words); equal words have equal a and b
     signed = shared_table(signed, "signed")
     rep = signed.groupBy("f1", "f2").agg(F.min("id").alias("src"), F.count(F.lit(1)).alias("n"))
     copies = signed.select("f1", "f2", F.col("id").alias("dst")).join(rep.where("n > 1"), ["f1", "f2"]).where("src <> dst").select("src", "dst")

@@ -27,3 +27,12 @@ def test_empty(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_large_groups_of_copies_leave_one(spark, docs_of):
+    copy, other = "the first line of a text\nthat is copied very often", "another text\n\nof which there are many copies"
+    texts = [copy] * 60 + [other] * 70 + ["!!!", "!!!", "...", None, None, "a text of its own, with words that no other has"]
+    stripped = corpus_pipeline.line_dedup_stage(spark, docs_of(texts), DATA)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_dedup_stage(spark, stripped, DATA).collect()}
+    # the whole copies stay, and of the texts that lost all lines one
+    assert kept == {0: copy, 1: "", 60: other, 130: "!!!", 132: "...", 133: None, 134: None, 135: texts[-1]}
