@@ -2,7 +2,8 @@
 
 Lines of a message that start with ``>`` quote an earlier one, ``>>`` or ``> >`` one more level up. Each run of lines of one
 level is a quoted passage. Its normalised text is hashed and joined, inside the conversation, to the hashes of the messages'
-own words (a whole message, each of its paragraphs, each of its lines). The message so found is the one replied to; the
+own words (a whole message, each of its paragraphs, each of its lines); a passage that is none of these is looked up by
+the hashes of its lines, as consecutive lines of one message. The message so found is the one replied to; the
 conversation is put in reply order, replies after what they reply to, and the quotes are left out.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import same, table
+from folioforge.plans.lineage import shared_table
 
 #: The quote marks at the start of a line.
 MARKS = r"^[ \t]*(>[ \t]*)+"
@@ -54,18 +56,42 @@ def parse(messages: DataFrame) -> DataFrame:
     return out.withColumn("quotes", passages).withColumn("own", F.trim(F.regexp_replace("own", r"\A\s+|\s+\z", ""))).drop("__lines", "__runs")
 
 
+def _lines(text: Column) -> Column:
+    """The lines with anything on them."""
+    return F.filter(F.split(text, "\n", -1), lambda x: normal(x) != "")
+
+
+def line_runs(wanted: DataFrame, own: DataFrame) -> DataFrame:
+    """wanted(conv_id, turn, level, ord, quote) whose lines, two or more, follow each other in an earlier own(conv_id, source, own): with that ``source``.
+
+    Blank lines don't count on either side.
+    """
+    asked = wanted.withColumn("lines", _lines(F.col("quote"))).withColumn("n", F.size("lines")).where("n > 1").distinct()
+    asked = asked.select("conv_id", "turn", "level", "ord", F.md5("quote").alias("quote"), "n", F.posexplode("lines").alias("i", "line")).withColumn("digest", _digest(F.col("line"))).drop("line")
+    held = own.distinct().select("conv_id", "source", F.md5("own").alias("own"), F.posexplode(_lines(F.col("own"))).alias("p", "line")).withColumn("digest", _digest(F.col("line"))).drop("line")
+    met = asked.join(held, ["conv_id", "digest"]).where("source < turn")
+    # the lines of one occurrence are all moved by as much; md5 of the texts tells different rows of one turn apart
+    runs = met.groupBy("conv_id", "turn", "level", "ord", "quote", "n", "source", "own", (F.col("p") - F.col("i")).alias("shift")).agg(F.count(F.lit(1)).alias("found"))
+    return runs.where("found = n").select("conv_id", "turn", "level", "ord", "source")
+
+
 def link(parsed: DataFrame) -> DataFrame:
     """``(conv_id, turn, parent)``: the message that a message quotes.
 
     The passage of the lowest level decides, then the first in the message; of several originals the latest earlier one.
+    Lines out of a message are looked for where no whole message, paragraph or line is the passage.
     """
     passages = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.explode("quotes").alias("q"))
-    wanted = passages.select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.ord").alias("ord"), _digest(F.col("q.text")).alias("digest"), (normal(F.col("q.text")) != "").alias("ok")).where("ok").drop("ok")
+    wanted = passages.select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.ord").alias("ord"), F.col("q.text").alias("quote")).where(normal(F.col("quote")) != "")
+    wanted = shared_table(wanted.withColumn("digest", _digest(F.col("quote"))), "quotes")
     asked = wanted.select("conv_id").distinct()
+    own = shared_table(parsed.join(asked, "conv_id", "left_semi").select("conv_id", F.col("turn").alias("source"), "own"), "quoted")
     texts = F.concat(F.array("own"), F.split("own", "\n[ \t]*\n"), F.split("own", "\n"))
-    units = parsed.join(asked, "conv_id", "left_semi").select("conv_id", F.col("turn").alias("source"), F.explode(F.array_distinct(F.filter(texts, lambda x: normal(x) != ""))).alias("unit"))
+    units = own.select("conv_id", "source", F.explode(F.array_distinct(F.filter(texts, lambda x: normal(x) != ""))).alias("unit"))
     units = units.select("conv_id", "source", _digest(F.col("unit")).alias("digest"))
-    hits = wanted.join(units, ["conv_id", "digest"]).where("source < turn")
+    hits = shared_table(wanted.join(units, ["conv_id", "digest"]).where("source < turn").select("conv_id", "turn", "level", "ord", "digest", "source"), "hits")
+    rest = wanted.join(hits, ["conv_id", "turn", "level", "ord", "digest"], "left_anti").drop("digest")
+    hits = hits.drop("digest").unionByName(line_runs(rest, own))
     w = Window.partitionBy("conv_id", "turn").orderBy("level", "ord", F.desc("source"))
     return hits.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("conv_id", "turn", F.col("source").alias("parent"))
 

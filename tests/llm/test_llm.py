@@ -168,6 +168,19 @@ def test_chat_links_quotes(spark, tmp_path):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+def test_chat_links_lines_out_of_a_message(spark):
+    five, three = "one a\ntwo b\nthree c\nfour d\nfive e", "first x\nsecond x\n\nthird y\n\nfourth z"
+    rows = [
+        (1, 0, "u", five), (1, 1, "a", three), (1, 2, "u", "> Two b\n> three  c\nlines of a paragraph"), (1, 3, "a", "> first x\n> second x\n>\n> third y\ntwo of three paragraphs"),
+        (1, 4, "u", "> two b\n> four d\nnot consecutive"), (1, 5, "u", "> second x\n> third y\n> fourth z\n>> four d\n>> five e\nacross a blank line"), (1, 6, "u", "> three c\n> two b\nanother order"),
+        (2, 0, "u", "p\nq"), (2, 0, "v", "r\ns"), (2, 1, "u", "> q\n> r\nof two rows of one turn"), (2, 2, "u", "> k\n> l\nsaid later"), (2, 3, "u", "j\nk\nl"),
+        (3, 0, "u", "k\nl\nm"), (3, 1, "u", "k\nk\nl\nm\nm"), (3, 2, "a", "> k\n> k\n> l\nrepeated lines"), (3, 2, "b", "> k\n> k\n> m\nanother row of the turn"),
+    ]
+    got = {r.conv_id: r for r in chat.conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert {m.turn: (m.parent, m.depth) for m in got[1].chat} == {0: (None, 0), 1: (None, 0), 2: (0, 1), 3: (1, 1), 4: (None, 0), 5: (1, 1), 6: (None, 0)}
+    assert got[2].n_links == 0 and {(m.turn, m.parent) for m in got[3].chat} == {(0, None), (1, None), (2, 1)}
+
+
 # ---- 5
 
 def _edit_ends(pattern, text, k):
