@@ -107,24 +107,21 @@ def subsequence(c: DataFrame) -> DataFrame:
 
 
 def initials(c: DataFrame, lang: str) -> DataFrame:
-    """A name token of three letters or more in common, the other tokens aligned with initials in any order, one of them
-    spelled out on one side; the slug of fewer tokens survives, the earlier at equal number."""
-    tok = c.withColumn("t", F.split(T.transliteration_canonical("slug", lang), "-")).where(F.size("t").between(2, 5))
+    """A token of three letters or more in common; every other token is an initial or begins with an initial of the other
+    side, in any order, and at least one is spelled out; the slug of fewer tokens survives, the earlier at equal number."""
+    tok = c.withColumn("t", F.split(T.transliteration_canonical("slug", lang), "-"))
     k = tok.select(F.explode(F.array_distinct(F.filter("t", lambda x: F.length(x) >= 3))).alias("key"), "pos", "slug", "t")
-    a = k.select("key", F.col("pos").alias("a_pos"), F.col("slug").alias("a_slug"), F.array_remove("t", F.col("key")).alias("a_r"), F.size("t").alias("a_n"))
-    b = k.select("key", F.col("pos").alias("b_pos"), F.col("slug").alias("b_slug"), F.array_remove("t", F.col("key")).alias("b_r"), F.size("t").alias("b_n"))
-    p = a.join(b, "key").where((F.col("a_pos") < F.col("b_pos")) & (F.col("a_slug") != F.col("b_slug")))
-
-    def covered(x: str, y: str) -> Column:
-        return F.forall(x, lambda u: F.exists(y, lambda v: (u == v) | (((F.length(u) == 1) | (F.length(v) == 1)) & (F.substring(u, 1, 1) == F.substring(v, 1, 1)))))
-
-    fewer_in_more = F.when(F.col("a_n") <= F.col("b_n"), covered("a_r", "b_r")).otherwise(covered("b_r", "a_r"))
-    one = lambda r: F.exists(r, lambda u: F.length(u) == 1)
-    real = (F.exists("a_r", lambda u: F.length(u) > 1) & one("b_r")) | (F.exists("b_r", lambda u: F.length(u) > 1) & one("a_r"))
-    spelled = F.when(one("a_r") & one("b_r"), F.lit(False)).otherwise(real)
-    p = p.where((F.size("a_r") > 0) & (F.size("b_r") > 0) & fewer_in_more & spelled).dropDuplicates(["a_pos", "b_pos"])
-    # the side written with initials gives way to the one written out, unless that has more tokens
-    return _edges(p, F.when(F.col("b_n") < F.col("a_n"), F.col("b_slug")).otherwise(F.col("a_slug")), "initials")
+    a, b = (k.select("key", *[F.col(x).alias(f"{side}_{x}") for x in ("pos", "slug", "t")]) for side in "ab")
+    p = a.join(b, "key").where((F.col("a_pos") < F.col("b_pos")) & (F.col("a_slug") != F.col("b_slug"))).dropDuplicates(["a_pos", "b_pos"])
+    initial = lambda u: u.rlike("^[a-z]$")
+    rest = lambda x, y: F.filter(x, lambda u: (F.length(u) < 3) | ~F.array_contains(y, u))
+    p = p.withColumn("a_r", rest("a_t", F.col("b_t"))).withColumn("b_r", rest("b_t", F.col("a_t")))
+    p = p.withColumn("a_i", F.filter("a_r", initial)).withColumn("b_i", F.filter("b_r", initial))
+    meets = lambda u, i: F.array_contains(F.col(i), F.substring(u, 1, 1))
+    aligned = lambda r, i: F.forall(r, lambda u: initial(u) | meets(u, i))
+    spelled = lambda r, i: F.exists(r, lambda u: ~initial(u) & meets(u, i))
+    p = p.where(aligned("a_r", "b_i") & aligned("b_r", "a_i") & (spelled("a_r", "b_i") | spelled("b_r", "a_i")))
+    return _edges(p, F.when(F.size("b_t") < F.size("a_t"), F.col("b_slug")).otherwise(F.col("a_slug")), "initials")
 
 
 def glossary(c: DataFrame, terms: DataFrame, output: str) -> DataFrame:

@@ -68,6 +68,15 @@ def test_subsequence_initials_glossary(spark):
     assert [p[:3] for p in pairs(resolve.detect(cands(spark, "echocardiography", "ekkokardiografi"), "da", terms=terms)[0])] == [("echocardiography", "ekkokardiografi", "glossary")]
 
 
+def test_initials_on_both_sides(spark):
+    initials = lambda *slugs: [p[:3] for p in pairs(resolve.detect(cands(spark, *slugs), "da")[0]) if p[2] == "initials"]
+    assert initials("anders-m-hansen", "a-m-hansen") == [("a-m-hansen", "anders-m-hansen", "initials")]
+    assert initials("jens-p-moeller", "j-peter-moeller") == [("j-peter-moeller", "jens-p-moeller", "initials")]
+    assert initials("anna-b-c-d-e-hansen", "a-b-c-d-e-hansen") and initials("region-nord-a-hansen", "region-nord-anders-hansen")
+    for other in (("hansen-a", "hansen-b"), ("hansen-jens", "hansen-anders"), ("anders-m-hansen", "a-karl-hansen"), ("odense-2", "odense-2tal"), ("anders-de-hansen", "a-de-hansen")):
+        assert initials(*other) == [], other
+
+
 def test_clusters(spark):
     c = cands(spark, *[f for x in ("nord", "syd") for f in (x, f"{x}-region", f"region-{x}")])
     p, k = resolve.detect(c, "da")
