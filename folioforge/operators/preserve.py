@@ -65,14 +65,18 @@ def row_finding(file: Column, page: Column, subject: Column, value: Column) -> C
 def preservation_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that a document has word for word.
 
-    A text that contains an item has the item's longest word among its words, so the pairs to test are joined on it.
+    A text may go on with letters where an item begins or ends, but has every word inside the item among its words, so the
+    pairs to test are joined on the longest of them. Items without one are compared with all documents.
     """
-    longest = lambda x: F.element_at(F.array_sort(F.transform(F.split(x, r"[^\p{L}\p{N}]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), longest(F.col("text")).alias("w"))
+    parts = F.split("text", r"[^\p{L}\p{N}]+")
+    inner = F.transform(F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.array_max(inner)["w"].alias("w"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))).alias("w"))
     pairs = words.join(items.select("item_id", "w"), "w").select("doc_id", "item_id").distinct()
-    return pairs.join(items.select("item_id", "item"), "item_id").join(docs, "doc_id").where(F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")
+    found = pairs.join(items.where("w is not null").select("item_id", "item"), "item_id").join(docs, "doc_id").where(F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")
+    short = docs.join(F.broadcast(items.where("w is null").select("item_id", "item")), F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")
+    return found.unionByName(short)
 
 
 @query(

@@ -203,6 +203,14 @@ def test_preservation(spark):
     assert rows(preserve.missing_evidence(pages, ev)) == [("x", "claim", "three")]
 
 
+def test_contains_where_words_go_on(spark, tmp_path):
+    items = [(1, "a brave new world"), (2, "world"), (3, "old worl"), (4, " inner "), (5, None)]
+    docs = [(1, "it is a brave new worlds apart"), (2, "the bold worlds"), (3, "an inner thing"), (4, None), (5, "a brave newer world")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(rows(preserve.preservation_contains(spark, str(tmp_path)))) == [(1, 1), (2, 1), (2, 2), (2, 5), (3, 2), (4, 3)]
+
+
 def test_comparison_drift(spark):
     md = "| Region | Andel |\n| --- | --- |\n| Danmark | 79,2 |\n| Syddanmark | 82,2 |"
     body = "# T\n\n## Table: One (report-2023.pdf, p. 16)\n\n" + md.replace("82,2", "82,9") + "\n\n## Table: Two (report-2024.pdf, p. 15)\n\n82,2"
