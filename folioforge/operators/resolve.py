@@ -56,7 +56,7 @@ def alias(c: DataFrame, lang: str) -> DataFrame:
 
 
 #: Capitalised words and an abbreviation in brackets, as texts introduce it.
-INTRODUCED = r"(\p{Lu}[\p{L}-]+(?: [\p{L}-]+){0,6}) \((\p{Lu}[\p{L}]{1,9})\)"
+INTRODUCED = r"(\p{Lu}[\p{L}-]*(?:\s+[\p{L}-]+){0,6})\s*\((\p{Lu}[\p{L}]{1,9})\)"
 
 
 def abbreviation(c: DataFrame, corpus: DataFrame, lang: str) -> DataFrame:
@@ -64,7 +64,7 @@ def abbreviation(c: DataFrame, corpus: DataFrame, lang: str) -> DataFrame:
     full, short = (F.regexp_extract_all("text", F.lit(INTRODUCED), F.lit(i)) for i in (1, 2))
     found = corpus.select(F.explode(F.arrays_zip(full.alias("full"), short.alias("short"))).alias("x")).select("x.full", "x.short").distinct()
     # a sentence may lead into the name: every tail of the words is a possible name
-    words = F.split("full", " ")
+    words = F.split("full", r"\s+")
     tails = found.select("short", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))).alias("name"))
     ok = tails.where(T.letters_in_order("short", "name")).select(T.slugify("name", lang).alias("into"), T.slugify("short", lang).alias("from")).where("into <> `from`").distinct()
     slugs = c.select("slug", "pos")

@@ -61,6 +61,12 @@ def test_alias_and_abbreviation(spark):
     assert pairs(resolve.detect(c, "da", corpus)[0]) == [("lpr", "landspatientregisteret", "abbreviation", "proposed")]
 
 
+def test_abbreviation_over_any_blanks(spark):
+    c = cands(spark, "nhr", "national-health-register")
+    for text in ("the National\nHealth  Register (NHR)", "National Health Register(NHR)", "A National Health Register\n(NHR)"):
+        assert pairs(resolve.detect(c, "da", spark.createDataFrame([(text,)], "text string"))[0]) == [("nhr", "national-health-register", "abbreviation", "proposed")], text
+
+
 def test_subsequence_initials_glossary(spark):
     assert [p[:3] for p in pairs(resolve.detect(cands(spark, "peter-olsen-svenningsen", "peter-svenningsen"), "da")[0])] == [("peter-olsen-svenningsen", "peter-svenningsen", "subsequence")]
     assert [p[:3] for p in pairs(resolve.detect(cands(spark, "moeller-m-h", "morten-moller"), "da")[0])] == [("moeller-m-h", "morten-moller", "initials")]
