@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.plans.lineage import shared_table
+from folioforge.plans.lineage import release, shared_table
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -26,6 +26,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         stepped = least.join(jump, "component", "left").select("node", F.least("component", "__up").alias("component"))
         was = labels.select("node", F.col("component").alias("__was"))
         new = shared_table(stepped.join(was, "node").select("node", "component", (F.col("component") != F.col("__was")).alias("__moved")), "labels")
+        release(labels)
         labels = new.select("node", "component")
         if new.where("__moved").isEmpty():
+            release(both)
             return labels

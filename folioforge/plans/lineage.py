@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,16 +34,31 @@ def shared_table(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioforge-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    to_delete(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def to_delete(spark: SparkSession, path: str) -> None:
+    """The folder goes when the process ends."""
+    _written[path] = spark
+
+
+def release(df: DataFrame) -> None:
+    """Delete the shared tables that ``df`` reads, before the process ends; what is computed from them can't be read again."""
+    for file in df.inputFiles():
+        for path in [p for p in _written if file.startswith(p) or file.split(":", 1)[-1].lstrip("/").startswith(p.split(":", 1)[-1].lstrip("/"))]:
+            _delete(_written.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the cluster's own retention applies
             return
