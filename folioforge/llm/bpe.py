@@ -5,6 +5,9 @@ literal map, and joins the first pair of least rank. As words repeat, the fold r
 occurs more than once, and its result is looked up for every occurrence; a word that occurs once (or is beyond the
 bounded dictionary) is folded where it stands. Nothing but word counts is shuffled.
 
+Texts are cut into words a batch at a time, by the classes of all its characters at once. The dictionary goes to the
+workers as 128-bit fingerprints in order, with the ids; a worker takes it over once, not once a batch.
+
 The literal map is two arrays, the rows of the table of pairs pushed into each other: the entry of pair (a, b) is in slot
 shift[a] + b, as a·2^16 + merged id. Lookups thus cost the same for any vocabulary (Spark's own map literals are searched
 from end to end).
@@ -15,6 +18,8 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import json
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import arrow_rows, table
-from folioforge.llm.textblock import list_array
-from folioforge.plans.lineage import shared_table
+from folioforge.llm.textblock import U, Words, buffers, list_array, pieces
+from folioforge.plans.lineage import release, shared_table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Splits a text into words before the merges, as the vocabulary's authors have it: \\s covers all Unicode white space; letters are tried
-#: first, as no contraction starts with one, and what can't match in another way doesn't backtrack.
-_S = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-PATTERN = rf" ?+\p{{L}}++|'(?:[stmd]|re|ve|ll)| ?+\p{{N}}++| ?+[^{_S}\p{{L}}\p{{N}}]++|[{_S}]+(?![^{_S}])|[{_S}]++"
 #: Most frequent words whose ids are kept on the driver and broadcast (some 60 MB); all other words are folded in place.
 DICTIONARY = 2_000_000
-#: The fold takes time in the square of a word's bytes; longer words are merged with a heap, in n log n.
+#: The fold copies a word's ids once a merge; longer words are merged with a heap, in n log n.
 FOLD_BYTES = 64
-
+#: Bytes of text that are cut at a time.
+PIECE = 2 << 20
 
 @functools.lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -108,7 +110,6 @@ def fold(word: Column, path: str = RANKS) -> Column:
     ranks = load_ranks(path)
     shift, slot = map(_literal, _pairs(path))
     byte = _literal([ranks[bytes([b])] for b in range(256)])
-
     none = F.lit(65536).cast("bigint")
 
     def ranked(a: Column, b: Column) -> Column:
@@ -116,14 +117,13 @@ def fold(word: Column, path: str = RANKS) -> Column:
         return slot[shift[a] + b].bitwiseXOR(F.shiftleft(a, 16))
 
     def step(acc: Column, _: Column) -> Column:
-        def join(x: Column) -> Column:
-            low = F.array_min(x)
-            at = F.array_position(x, low)
-            merged = F.filter(F.transform(acc, lambda a, i: F.when(i == at - 1, low).otherwise(a)), lambda _a, i: i != at)
+        def join(pairs: Column, low: Column) -> Column:
+            at = F.array_position(pairs, low).cast("int")
+            merged = _let(at, lambda k: F.concat(F.slice(acc, F.lit(1), k - 1), F.array(low), F.slice(acc, k + 2, F.size(acc))))
             return F.when(low < none, merged).otherwise(F.transform(acc, lambda a: -a - 1))  # done: all ids negative
 
-        ranks = F.transform(acc, lambda a, i: ranked(a, F.get(acc, i + 1)))  # the last has no neighbour: null
-        return F.when(F.get(acc, F.lit(0)) < 0, acc).otherwise(_let(ranks, join))
+        pairs = F.transform(acc, lambda a, i: ranked(a, F.get(acc, i + 1)))  # the last has no neighbour: null
+        return F.when(F.get(acc, F.lit(0)) < 0, acc).otherwise(_let(pairs, lambda x: _let(F.array_min(x), lambda low: join(x, low))))
 
     chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
     start = F.transform(chars, lambda c: byte[F.ascii(c)])
@@ -161,38 +161,158 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """By code point: 1 letter, 2 number, 3 white space, 0 any other character."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LN":
+            out[c] = 1 if kind == "L" else 2
+    for a, b in ((9, 13), (32, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
+        out[a : b + 1] = 3
+    return out
+
+
+def cut(texts: pa.Array) -> Words:
+    """The words of a batch, as the vocabulary's authors cut texts before the merges: ``'s 't 're 've 'm 'll 'd``, runs of
+    letters, of numbers and of other characters, each with one blank before it, and runs of white space. All bytes of a
+    text are in a word. Bytes that are no UTF-8 count as U+FFFD."""
+    data, offsets = buffers(texts)
+    try:
+        text = data.tobytes().decode()
+    except UnicodeDecodeError:
+        data, offsets = buffers(pa.array([x.decode("utf-8", "replace") for x in pc.fill_null(texts, "").cast(pa.large_binary()).to_pylist()], pa.large_string()))
+        text = data.tobytes().decode()
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    n, plain = len(c), len(c) == len(data)
+    at = np.arange(n + 1) if plain else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    begins = np.searchsorted(at, offsets[:-1])
+    first = np.zeros(n + 1, bool)
+    first[begins] = True
+    first[n] = True
+    kind = _classes()[c]
+    start = first.copy()
+    start[1:n] |= kind[1:] != kind[:-1]
+    space = kind == 3
+    last = np.zeros(n, bool)  # white space right before a character of the same text that is none
+    last[:-1] = space[:-1] & ~space[1:]
+    last &= ~first[1:]
+    start[:n] |= last
+    start[np.flatnonzero(last & (c == 32)) + 1] = False  # the blank goes with what follows
+    padded = np.concatenate([c, np.zeros(2, np.uint32)])
+    ends = np.concatenate([first, np.ones(2, bool)])
+    mark = np.flatnonzero((c == 39) & start[:n])
+    mark = mark[~ends[mark + 1]]
+    x, y = padded[mark + 1], padded[mark + 2]
+    one = np.isin(x, [ord(k) for k in "stmd"])
+    two = ~ends[mark + 2] & (((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l")))
+    for which, size in ((mark[one], 2), (mark[two], 3)):
+        start[which + 1] = False
+        start[which + size] = True
+    begin = np.flatnonzero(start[:n])
+    w = Words.__new__(Words)
+    w.data, w.offsets = data, offsets
+    w.start = at[begin]
+    w.end = np.append(w.start[1:], len(data)) if len(begin) else w.start
+    w.first = np.searchsorted(w.start, offsets)
+    return w
+
+
+def _strings(w: Words, chosen: np.ndarray) -> pa.Array:
+    """Some of the words; as they follow each other without gaps, their starts are the offsets of one array."""
+    if not len(chosen):
+        return pa.array([], pa.large_string())
+    offsets = np.append(w.start, len(w.data)).astype(np.int64)
+    every = pa.LargeStringArray.from_buffers(len(w.start), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(w.data)))
+    return every.take(pa.array(chosen))
+
+
+def _counted(batches):
+    """The distinct words of each piece of a batch that are short enough to fold, with how often they occur."""
+    for batch in pieces(batches, most=PIECE):
+        w = cut(batch.column("text"))
+        short = np.flatnonzero(w.end - w.start <= FOLD_BYTES)
+        _, at, n = np.unique(w.hashes()[short], return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([_strings(w, short[at]).cast(pa.string()), pa.array(n)], ["word", "n"])
+
+
+def fingerprints(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string of an array, whole strings."""
+    w = Words.__new__(Words)
+    w.data, w.offsets = buffers(words)
+    w.start, w.end, w.first = w.offsets[:-1], w.offsets[1:], np.arange(len(words) + 1)
+    return w.hashes(), w.hashes(1)
+
+
+class Dictionary:
+    """Ids by the fingerprints of words: ``keys`` in order, ``checks`` beside them, ids from ``first`` on in ``ids``."""
+
+    def __init__(self, words: pa.Array, lengths: np.ndarray, ids: np.ndarray):
+        keys, checks = fingerprints(words)
+        order = np.argsort(keys, kind="stable")
+        start = np.cumsum(lengths) - lengths
+        to = np.cumsum(lengths[order]) - lengths[order]
+        inner = np.arange(len(ids)) - np.repeat(to, lengths[order])
+        self.keys, self.checks, self.lengths = keys[order], checks[order], lengths[order].astype(np.uint8)
+        self.ids = ids[np.repeat(start[order], lengths[order]) + inner].astype(np.uint16)
+
+    def prepare(self) -> None:
+        """What lookups need besides, made once in each worker."""
+        if hasattr(self, "bins"):
+            return
+        self.bits = max(1, len(self.keys)).bit_length()
+        n = np.bincount((self.keys >> U(64 - self.bits)).astype(np.int64), minlength=1 << self.bits)
+        self.bins = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        self.first = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for those that are not in it."""
+        self.prepare()
+        out = np.full(len(h), -1, np.int32)
+        if not len(self.keys):
+            return out
+        box = (h >> U(64 - self.bits)).astype(np.int64)
+        at, to = self.bins[box], self.bins[box + 1]
+        todo = np.flatnonzero(at < to)
+        at, to = at[todo], to[todo]
+        while len(todo):
+            hit = (self.keys[at] == h[todo]) & (self.checks[at] == check[todo])
+            out[todo[hit]] = at[hit]
+            at = at + 1
+            more = ~hit & (at < to)
+            todo, at, to = todo[more], at[more], to[more]
+        return out
+
+
 def _lookup(shared, path: str):
-    """Batches of (doc_id, words) to (doc_id, known: runs of ids between unknown words, unknown words)."""
+    """Batches of (doc_id, text) to (doc_id, none: text is null, known: runs of ids between unknown words, unknown words)."""
 
     def run(batches):
-        words, ids, length = shared.value
-        vocabulary = pa.array(words, pa.string()) if not isinstance(words, pa.Array) else words
-        start = np.concatenate([[0], np.cumsum(length)])[:-1] if len(length) else np.zeros(0, np.int64)
-        for batch in batches:
-            column = batch.column("words")
-            if not len(column):
-                continue
-            per = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-            first = np.concatenate([[0], np.cumsum(per)]).astype(np.int64)
-            flat = column.flatten()
-            at = pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+        book: Dictionary = shared.value
+        book.prepare()
+        for batch in pieces(batches, most=PIECE):
+            w = cut(batch.column("text"))
+            first = w.first.astype(np.int64)
+            at = book.find(w.hashes(), w.hashes(1))
             known = at >= 0
-            n = np.zeros(len(flat), np.int64)
-            n[known] = length[at[known]]
+            n = np.zeros(len(at), np.int64)
+            n[known] = book.lengths[at[known]]
             fresh = np.flatnonzero(~known)
             extra = {}
-            if len(fresh):
-                long = fresh[pc.binary_length(flat.take(pa.array(fresh))).to_numpy(zero_copy_only=False) > FOLD_BYTES]
-                ranks = load_ranks(path) if len(long) else {}
+            long = fresh[(w.end - w.start)[fresh] > FOLD_BYTES]
+            if len(long):
+                ranks = load_ranks(path)
                 for i in long.tolist():
-                    extra[i] = merge_long(flat[i].as_py().encode(), ranks)
+                    extra[i] = merge_long(w.data[w.start[i] : w.end[i]].tobytes(), ranks)
                     n[i] = len(extra[i])
                 fresh = np.setdiff1d(fresh, long, assume_unique=True)
             total = np.concatenate([[0], np.cumsum(n)])
             out = np.zeros(total[-1], np.int32)
-            to = np.repeat(total[:-1][known], n[known])
-            inner = np.arange(len(to)) - np.repeat(np.cumsum(n[known]) - n[known], n[known])
-            out[to + inner] = ids[np.repeat(start[at[known]], n[known]) + inner]
+            size = n[known]
+            to = np.repeat(total[:-1][known], size)
+            inner = np.arange(len(to)) - np.repeat(np.cumsum(size) - size, size)
+            out[to + inner] = book.ids[np.repeat(book.first[at[known]], size) + inner]
             for i, found in extra.items():
                 out[total[i] : total[i + 1]] = found
             order = np.concatenate([2 * fresh, 2 * first[1:] - 1])
@@ -200,12 +320,35 @@ def _lookup(shared, path: str):
             unknown = np.diff(np.searchsorted(fresh, first))
             runs = list_array(out, np.diff(np.concatenate([[0], ends])), pa.int32())
             offsets = np.concatenate([[0], np.cumsum(unknown + 1)]).astype(np.int32)
-            missing = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(unknown)]).astype(np.int32)), flat.take(pa.array(fresh)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("none"), pa.ListArray.from_arrays(pa.array(offsets), runs), missing], ["doc_id", "none", "known", "unknown"])
+            missing = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(unknown)]).astype(np.int32)), _strings(w, fresh).cast(pa.string()))
+            none = pc.is_null(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), none, pa.ListArray.from_arrays(pa.array(offsets), runs), missing], ["doc_id", "none", "known", "unknown"])
 
     return run
 
 
+def _frequent(texts: DataFrame, dictionary: int) -> DataFrame:
+    """The words that occur more than once, at most ``dictionary`` of them: the most frequent."""
+    counts = texts.where("text is not null").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = shared_table(counts, "words")
+    if counts.count() <= dictionary:
+        return counts
+    by = sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda x: -x["n"])
+    total, least = 0, by[0]["n"] + 1
+    for x in by:
+        if (total := total + x["c"]) > dictionary:
+            break
+        least = x["n"]
+    return counts.where(F.col("n") >= least)
+
+
+def _folded(words: DataFrame, path: str) -> Dictionary:
+    got = words.repartition("word").select("word", fold(F.col("word"), path).alias("ids")).toArrow()
+    ids = got.column("ids").combine_chunks()
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    return Dictionary(got.column("word").cast(pa.large_string()).combine_chunks(), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False))
+
+
 def encode(docs: DataFrame, path: str = RANKS, dictionary: int = DICTIONARY) -> DataFrame:
     """``(doc_id, token_ids, n_tokens)`` of every row of ``docs``.
 
@@ -216,41 +359,28 @@ def encode(docs: DataFrame, path: str = RANKS, dictionary: int = DICTIONARY) ->
     spark = docs.sparkSession
     arrow_rows(spark, 1000)
     spark.conf.set("spark.sql.maxPlanStringLength", "100000")  # the literals would fill the driver's records of plans
-    split = docs.select(F.col("doc_id"), F.col("text").isNull().alias("none"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0)).alias("words"))
-    each = split.select(F.explode("words").alias("word"))
-    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= FOLD_BYTES))
-    counts = shared_table(counts, "words")
-    if counts.count() > dictionary:
-        by = sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda x: -x["n"])
-        total, least = 0, by[0]["n"] + 1
-        for x in by:
-            if (total := total + x["c"]) > dictionary:
-                break
-            least = x["n"]
-        counts = counts.where(F.col("n") >= least)
-    folded = counts.select("word").repartition("word").select("word", fold(F.col("word"), path).alias("ids")).toArrow()
-    words, ids = folded.column("word").combine_chunks(), folded.column("ids").combine_chunks()
-    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-    length = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-    shared = spark.sparkContext.broadcast((words.cast(pa.string()), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), length))
+    texts = docs.select("doc_id", "text")
+    words = _frequent(texts.select("text"), dictionary)
+    shared = spark.sparkContext.broadcast(_folded(words, path))
+    release(words)
     kind = dict(docs.dtypes)["doc_id"]
-    looked = split.mapInArrow(_lookup(shared, path), f"doc_id {kind}, none boolean, known array<array<int>>, unknown array<string>")
+    looked = texts.mapInArrow(_lookup(shared, path), f"doc_id {kind}, none boolean, known array<array<int>>, unknown array<string>")
     # each run of known ids, then the unknown word after it (none after the last run)
     placed = F.zip_with("known", F.transform("unknown", lambda x: fold(x, path)), lambda a, b: F.array(a, F.coalesce(b, F.array().cast("array<int>"))))
-    out = looked.select("doc_id", F.when(~F.col("none"), F.flatten(F.flatten(placed))).alias("token_ids"))
+    ids = F.when(F.size("unknown") == 0, F.col("known")[0]).otherwise(F.flatten(F.flatten(placed)))
+    out = looked.select("doc_id", F.when(~F.col("none"), ids).alias("token_ids"))
     return out.select("doc_id", "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"))
 
 
 def decode_bytes(ids: Column, path: str = RANKS) -> Column:
-    """The bytes of token ids: the tokens' bytes as pieces of Latin-1 text, a letter a byte, joined in one go (a fold of
-    ``concat`` over binaries would copy the text once a token)."""
+    """The bytes of token ids: the tokens' binary pieces, concatenated. ``array_join`` copies each piece once; Spark has it
+    for strings only, so the pieces are cast, which leaves their bytes as they are (as does the cast back)."""
     ranks = load_ranks(path)
     tokens = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        tokens[rank] = token.decode("latin-1")
-    piece = F.split(F.lit("\u0100".join(tokens)), "\u0100")  # a letter that Latin-1 doesn't have parts the pieces
-    return F.encode(F.array_join(F.transform(ids, lambda i: piece[i]), ""), "ISO-8859-1")
+        tokens[rank] = base64.b64encode(token).decode()
+    piece = F.from_json(F.lit(json.dumps(tokens)), "array<binary>").cast("array<string>")  # a literal: Spark reads it when it plans the query
+    return F.array_join(F.transform(ids, lambda i: piece[i]), "").cast("binary")
 
 
 def decode(ids: Column, path: str = RANKS) -> Column:
