@@ -1,7 +1,8 @@
 """Line-first quality rules.
 
 Each line is judged by itself; failing lines go; a document that lost too much of its text goes as a whole. Everything
-is a Spark expression over the array of lines: no shuffle, no Python.
+is a Spark expression over the array of lines: no shuffle, no Python. What is used twice in a line's rules is bound once,
+and the kept documents come out of a generator, which the optimizer doesn't compute a second time for the filter.
 """
 
 from __future__ import annotations
@@ -18,8 +19,19 @@ MARKS = r"[#$%&*^~<>{}\\]"
 SHOUT = r"!!"
 #: Separators of menus and breadcrumbs.
 SEPARATORS = r"[|»›•·→]"
-NAVIGATION = r"(?i)^(home|menu|search|log ?in|sign ?(in|up)|next|previous|back to top|read more|skip to [a-z ]+|share( this)?|about( us)?|contact( us)?|site ?map)[.!:]?$"
-BOILERPLATE = r"(?i)(all rights reserved|terms (of|and) (use|service|conditions)|privacy policy|cookie (policy|settings|notice)|we use cookies|enable javascript|lorem ipsum|click here|subscribe to our|powered by )"
+#: Whole lines of menus, and phrases of boilerplate, in English, German, French and Spanish; both are matched in lower case.
+NAVIGATION = (
+    r"^(home|menu|search|log ?in|sign ?(in|up)|next|previous|back to top|read more|skip to [a-z ]+|share( this)?|about( us)?|contact( us)?|site ?map"
+    r"|startseite|suche|anmelden|registrieren|weiter|zurück|nach oben|zum seitenanfang|weiterlesen|mehr lesen|zum inhalt springen|teilen|über uns|kontakt|impressum"
+    r"|accueil|rechercher|connexion|se connecter|s'inscrire|suivant|précédent|haut de page|retour en haut|lire la suite|aller au contenu|partager|à propos|contactez-nous|plan du site"
+    r"|inicio|menú|buscar|iniciar sesión|registrarse|siguiente|anterior|volver arriba|leer más|ir al contenido|compartir|acerca de|contacto|mapa del sitio)[.!:]?$"
+)
+PHRASES = (
+    "all rights reserved|terms of use|terms of service|terms of conditions|terms and use|terms and service|terms and conditions|privacy policy|cookie policy|cookie settings|cookie notice|we use cookies|enable javascript|lorem ipsum|click here|subscribe to our|powered by "
+    "|alle rechte vorbehalten|allgemeine geschäftsbedingungen|nutzungsbedingungen|datenschutzerklärung|cookie-einstellungen|wir verwenden cookies|javascript aktivieren|klicken sie hier|newsletter abonnieren"
+    "|tous droits réservés|conditions d'utilisation|conditions générales|politique de confidentialité|nous utilisons des cookies|activer javascript|cliquez ici|abonnez-vous à"
+    "|todos los derechos reservados|términos y condiciones|condiciones de uso|política de privacidad|política de cookies|utilizamos cookies|active javascript|haga clic aquí|suscríbete a"
+).split("|")
 
 MAX_MARKS, MAX_SHOUTS, MAX_SEPARATORS = 0.05, 2, 2
 #: A line of at least REPEAT_WORDS words whose distinct words are fewer than this share repeats itself (boilerplate rule).
@@ -30,27 +42,46 @@ SHORT = 60
 MIN_KEPT = 0.5
 
 
-def _line_passes(line: Column) -> Column:
-    t = F.trim(line)
-    words = F.split(F.lower(t), " +")
-    marks = F.regexp_count(t, F.lit(MARKS))
+def _any_of(x: Column, phrases: list[str]) -> Column:
+    """Whether ``x`` contains a phrase: searches for fixed bytes, which Spark does faster than one pattern of all phrases."""
+    found = x.contains(phrases[0])
+    for p in phrases[1:]:
+        found = found | x.contains(p)
+    return found
+
+
+def _line_passes(t: Column, low: Column, n: Column) -> Column:
+    """A trimmed line, the same in lower case, its length. Of the tests the cheap ones come first."""
+    words = F.transform(F.array(F.split(low, " +")), lambda w: (F.size(w) < REPEAT_WORDS) | (F.size(F.array_distinct(w)) >= MIN_DISTINCT * F.size(w)))[0]
     return (
-        (t.rlike(ENDING) | (F.length(t) <= SHORT))
-        & (marks <= MAX_MARKS * F.length(t))
-        & (F.regexp_count(t, F.lit(SHOUT)) <= MAX_SHOUTS)
+        ((n <= SHORT) | t.rlike(ENDING))
+        & ~_any_of(low, PHRASES)
+        & ((n > SHORT) | ~low.rlike(NAVIGATION))  # no entry of a menu is longer, but for "skip to"
+        & ((n <= SHORT) | ~low.startswith("skip to ") | ~low.rlike(NAVIGATION))
+        & (F.regexp_count(t, F.lit(MARKS)) <= MAX_MARKS * n)
+        & (~t.contains(SHOUT) | (F.regexp_count(t, F.lit(SHOUT)) <= MAX_SHOUTS))
         & (F.regexp_count(t, F.lit(SEPARATORS)) <= MAX_SEPARATORS)
-        & ~t.rlike(NAVIGATION)
-        & ~t.rlike(BOILERPLATE)
-        & ((F.size(words) < REPEAT_WORDS) | (F.size(F.array_distinct(words)) >= MIN_DISTINCT * F.size(words)))
+        & ((n < 2 * REPEAT_WORDS - 1) | words)  # so many words need so many letters and blanks
     )
 
 
 def _judged(docs: DataFrame, min_kept: float) -> DataFrame:
-    blank = lambda x: F.trim(x) == ""
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(F.trim(x)))
-    lines = docs.withColumn("__ql", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    kept = lines.withColumn("__qk", F.filter("__ql", lambda x: blank(x) | _line_passes(x)))
-    return kept.withColumn("__qc", chars(F.col("__ql"))).withColumn("__qd", chars(F.col("__qk"))).where((F.col("__qc") > 0) & (F.col("__qd") >= min_kept * F.col("__qc")))
+    """``docs`` that stay with ``__q``: the kept lines, and the numbers behind the decision."""
+
+    def line(x: Column) -> Column:
+        """The line, its letters without blanks at the ends, and whether it stays."""
+        bound = F.transform(F.array(F.trim(x)), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"), F.length(t).alias("n")))
+        return F.transform(bound, lambda b: F.struct(x.alias("line"), b["n"].alias("n"), ((b["n"] == 0) | _line_passes(b["t"], b["low"], b["n"])).alias("stays")))[0]
+
+    chars = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x["n"])
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line)
+
+    def decided(every: Column, kept: Column) -> Column:
+        return F.struct(F.transform(kept, lambda x: x["line"]).alias("kept"), F.size(every).alias("lines"), chars(every).alias("chars"), chars(kept).alias("kept_chars"))
+
+    both = F.transform(F.transform(F.array(lines), lambda a: F.struct(a.alias("a"), F.filter(a, lambda x: x["stays"]).alias("k"))), lambda b: decided(b["a"], b["k"]))
+    good = F.filter(both, lambda q: (q["chars"] > 0) & (q["kept_chars"] >= min_kept * q["chars"]))
+    return docs.select("*", F.explode(good).alias("__q"))
 
 
 def clean(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
@@ -60,7 +91,7 @@ def clean(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
     A null, empty or blank text has nothing to keep: the document goes. A text of one very long line is one line. Other
     nulls, repeated rows and further columns pass through; each row is judged alone. An empty table gives an empty one.
     """
-    out = _judged(docs, min_kept).withColumn("text", F.array_join("__qk", "\n"))
+    out = _judged(docs, min_kept).withColumn("text", F.array_join("__q.kept", "\n"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)
@@ -71,11 +102,11 @@ def report(docs: DataFrame, min_kept: float = MIN_KEPT) -> DataFrame:
     out = _judged(docs.select("doc_id", "text"), min_kept)
     return out.select(
         "doc_id",
-        F.array_join("__qk", "\n").alias("text"),
-        F.size("__ql").cast("long").alias("n_lines"),
-        F.size("__qk").cast("long").alias("n_kept_lines"),
-        F.col("__qc").cast("long").alias("line_chars"),
-        F.col("__qd").cast("long").alias("kept_chars"),
+        F.array_join("__q.kept", "\n").alias("text"),
+        F.col("__q.lines").cast("long").alias("n_lines"),
+        F.size("__q.kept").cast("long").alias("n_kept_lines"),
+        F.col("__q.chars").cast("long").alias("line_chars"),
+        F.col("__q.kept_chars").cast("long").alias("kept_chars"),
     )
 
 
@@ -91,10 +122,11 @@ def _sql() -> str:
     t = "trim(x, ' ')"
     n = lambda p: f"len(regexp_extract_all({t}, {_sql_text(p)}))"
     words = f"regexp_split_to_array(lower({t}), ' +')"
+    phrases = " or ".join(f"contains(lower({t}), {_sql_text(p)})" for p in PHRASES)
     passes = (
         f"(regexp_matches({t}, {_sql_text(ENDING)}) or length({t}) <= {SHORT}) and {n(MARKS)} <= {MAX_MARKS}::double * length({t})"
         f" and {n(SHOUT)} <= {MAX_SHOUTS} and {n(SEPARATORS)} <= {MAX_SEPARATORS}"
-        f" and not regexp_matches({t}, {_sql_text(NAVIGATION)}) and not regexp_matches({t}, {_sql_text(BOILERPLATE)})"
+        f" and not regexp_matches(lower({t}), {_sql_text(NAVIGATION)}) and not ({phrases})"
         f" and (len({words}) < {REPEAT_WORDS} or len(list_distinct({words})) >= {MIN_DISTINCT}::double * len({words}))"
     )
     chars = lambda a: f"coalesce(list_sum(list_transform({a}, lambda x: length({t}))), 0)::bigint"
