@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from folioforge.llm.textblock import mix
+
 ALL = frozenset(range(256))
 _SETS = {"d": frozenset(b"0123456789"), "w": frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"), "s": frozenset(b" \t\n\r\f\v")}
 _CTRL = {"n": 10, "t": 9, "r": 13}
@@ -96,15 +98,6 @@ def parse(pattern: str):
     return _Parser(pattern).alternatives()
 
 
-def reverse(tree):
-    """The tree of the reversed strings."""
-    if tree[0] == "seq":
-        return ("seq", [reverse(x) for x in reversed(tree[1])])
-    if tree[0] == "alt":
-        return ("alt", [reverse(x) for x in tree[1]])
-    return ("rep", reverse(tree[1]), *tree[2:]) if tree[0] == "rep" else tree
-
-
 @dataclass
 class Nfa:
     moves: list[list[tuple[frozenset[int], int]]] = field(default_factory=list)
@@ -195,12 +188,13 @@ def compile_rules(trees: list, boundary: frozenset[int] | None) -> Dfa:
                     todo.append(y)
         return frozenset(x for x in seen if nfa.moves[x] or x in nfa.accepts)
 
+    ahead = [[frozenset() if not (y := [y for k, y in moves if b in k]) else closure(y) for b in samples] for moves in nfa.moves]
     begin = closure([root])
     number, rows, order = {begin: 0}, [], [begin]
     for now in order:  # subset construction; ``order`` grows
         row = []
-        for b in samples:
-            to = closure({y for x in now for s, y in nfa.moves[x] if b in s})
+        for sets in zip(*[ahead[x] for x in now]) if now else [()] * len(samples):
+            to = frozenset().union(*sets)
             if to not in number:
                 number[to] = len(order)
                 order.append(to)
@@ -210,9 +204,11 @@ def compile_rules(trees: list, boundary: frozenset[int] | None) -> Dfa:
     found = [tuple(sorted({nfa.accepts[x] for x in s if x in nfa.accepts})) for s in order]
     kinds = {k: i for i, k in enumerate(sorted(set(found)))}
     part = np.array([kinds[k] for k in found])
-    while True:  # refine: states of one part go to the same parts
-        _, new = np.unique(np.column_stack([part, part[t]]), axis=0, return_inverse=True)
-        new = new.reshape(-1)
+    factors = np.random.default_rng(1).integers(0, 2**63, (len(samples) + 1, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+    while True:  # refine: states of one part go to the same parts; 128-bit sums stand for the rows
+        x = mix(np.column_stack([part, part[t]]).astype(np.uint64) + np.uint64(1))
+        sums = np.ascontiguousarray(np.stack([(x * factors[:, i]).sum(1, dtype=np.uint64) for i in (0, 1)], 1)).view("u8,u8").ravel()
+        _, new = np.unique(sums, return_inverse=True)
         if new.max() == part.max():
             break
         part = new
@@ -229,8 +225,9 @@ def compile_rules(trees: list, boundary: frozenset[int] | None) -> Dfa:
     return Dfa(klass, len(samples), table.astype(np.int32).ravel(), int(place[part[0]]), accepting, rules[accepting:], stuck[0] if stuck else -1)
 
 
-def scan(dfa: Dfa, data: np.ndarray, offsets: np.ndarray, lanes: int = 48) -> list[tuple[int, int, int]]:
-    """``(document, end byte in it, state)`` wherever an accepting state is reached, in one pass over each document's bytes.
+def scan(dfa: Dfa, data: np.ndarray, offsets: np.ndarray, lanes: int = 48, ends: bool = True) -> list[tuple[int, int, int]]:
+    """``(document, end byte in it, state)`` wherever an accepting state is reached, in one pass over each document's bytes;
+    without ``ends`` each state once a document, with 0 for the byte.
 
     Documents step side by side, the longest first, so that those still running are a prefix; when fewer than ``lanes``
     run, each is finished by itself.
@@ -240,22 +237,23 @@ def scan(dfa: Dfa, data: np.ndarray, offsets: np.ndarray, lanes: int = 48) -> li
     begin, size = offsets[:-1][order], length[order]
     klass, table, width, accepting = dfa.klass[data], dfa.table, dfa.n_classes, dfa.accepting
     state = np.full(len(order), dfa.start, np.int64)
-    out, at = [], 0
+    out, at = {}, 0
     running = int((size > 0).sum())
     while running >= lanes:
         now = table[state[:running] * width + klass[begin[:running] + at]]
         state[:running] = now
         if now.max() >= accepting:
             for x in np.flatnonzero(now >= accepting):
-                out.append((int(order[x]), at + 1, int(now[x])))
+                out[int(order[x]), (at + 1) * ends, int(now[x])] = None
         at += 1
         running = int(np.searchsorted(-size[:running], -at, "left"))
     if running:
         flat = table.tolist()
         for x in range(running):
             s, doc = int(state[x]), int(order[x])
-            for j, c in enumerate(klass[begin[x] + at : begin[x] + size[x]].tolist(), at + 1):
-                s = flat[s * width + c]
-                if s >= accepting:
-                    out.append((doc, j, s))
-    return out
+            for low in range(at, int(size[x]), 1 << 20):  # a slice at a time: a list takes much more memory than an array
+                for j, c in enumerate(klass[begin[x] + low : begin[x] + min(low + (1 << 20), int(size[x]))].tolist(), low + 1):
+                    s = flat[s * width + c]
+                    if s >= accepting:
+                        out[doc, j * ends, s] = None
+    return list(out)
