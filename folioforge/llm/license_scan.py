@@ -3,12 +3,15 @@
 A notice may differ from its text by a bounded number of edits. By the pigeonhole principle a notice cut into one piece
 more than the edits allowed has at least one piece unharmed, so exact search for the pieces (one Aho-Corasick pass over
 each text for all notices) finds every candidate place. There the ``regex`` library's bounded-error matching verifies
-the edits and gives the span.
+the edits and gives the span. Before that, line breaks with the comment marks after them, and runs of blanks, become one
+blank each, so that a notice wrapped in a comment costs no edits; spans are given in the text as it is.
 """
 
 from __future__ import annotations
 
 import functools
+import re
+from bisect import bisect_right
 
 import ahocorasick
 import pyarrow as pa
@@ -30,6 +33,14 @@ NOTICES = {
     "CC-BY-4.0": "licensed under cc by 4.0",
     "CC-BY-SA-4.0": "licensed under cc by-sa 4.0",
     "CC-BY-NC-4.0": "licensed under cc by-nc 4.0",
+    "CC0-1.0": "to the extent possible under law, the author has waived all copyright and related",
+    "AGPL-3.0": "licensed under the gnu affero general public license",
+    "GPL-notice": "you can redistribute it and/or modify it under the terms of the gnu general public license",
+    "Apache-header": "you may not use this file except in compliance with the license",
+    "ISC": "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee",
+    "EPL-2.0": "made available under the terms of the eclipse public license",
+    "BSL-1.0": "distributed under the boost software license, version 1.0",
+    "Zlib": "this software is provided 'as-is', without any express or implied warranty",
     "all-rights-reserved": "all rights reserved",
     "Unlicense": "this is free and unencumbered software released into the public domain",
 }
@@ -63,12 +74,33 @@ def _search(notices: tuple[tuple[str, str], ...]):
     return automaton, patterns
 
 
-def _lower(text: str) -> str:
-    """Lower case of the same length, so that spans hold for the text itself; white space of any kind becomes a blank."""
+_BLANKS = {ord(c): " " for c in "\n\t\r\u00a0"}
+
+
+def _lower(text: str, blanks: bool = True) -> str:
+    """Lower case of the same length, so that spans hold for the text itself; with ``blanks`` white space of any kind becomes a blank."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return low.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace(" ", " ")
+    return low.translate(_BLANKS) if blanks else low
+
+
+#: What becomes one blank: a line break with the blanks around it and the comment marks after it, and blanks in a row.
+_GAP = re.compile(r"[ \t]*(?:\r?\n[ \t]*)+(?:[#*;%>|!/-]+[ \t]*(?:\r?\n[ \t]*)*)*|[ \t]{2,}")
+
+
+def folded(text: str):
+    """The text to search in, and the function from its places to those of ``text``."""
+    low, starts, moved, parts, at, size = _lower(text, False), [0], [0], [], 0, 0
+    for m in _GAP.finditer(low):
+        if m.end() - m.start() > 1:
+            parts += [low[at : m.start()], " "]
+            size += m.start() - at + 1
+            at = m.end()
+            starts.append(size)
+            moved.append(at - size)
+    low = (("".join(parts) + low[at:]) if parts else low).translate(_BLANKS)
+    return low, (lambda p: p + moved[bisect_right(starts, p) - 1])
 
 
 def find(text: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[int, int, int, int]]:
@@ -79,7 +111,7 @@ def find(text: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[int, int
     the notice listed first.
     """
     automaton, patterns = _search(notices)
-    low = _lower(text)
+    low, places_of = folded(text)
     places: dict[int, list[tuple[int, int]]] = {}
     for last, (length, where) in automaton.iter(low):
         for i, at in where:
@@ -107,6 +139,7 @@ def find(text: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[int, int
             out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
             todo += [(a, m.start()), (m.end(), b)]
     best: list[tuple[int, int, int, int]] = []
+    out = [(i, places_of(a), places_of(b - 1) + 1, n) for i, a, b, n in out]
     for hit in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
         if all(hit[2] <= x[1] or hit[1] >= x[2] for x in best):
             best.append(hit)
@@ -128,7 +161,7 @@ def _scan(notices: tuple[tuple[str, str], ...]):
 def find_licenses(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     """``(doc_id, license, start, end, edits)``: character spans of notices within their bound of edits.
 
-    Case and kinds of white space don't count. Of licenses whose notices match in one place the best match is reported,
+    Case, kinds and runs of white space and comment marks at the start of lines don't count. Of licenses whose notices match in one place the best match is reported,
     ties as in ``find``. Null and empty texts give no
     row; rows without a doc_id are reported with a null; repeated rows are reported as often as they occur; whole texts
     are searched; further columns are not looked at; an empty table gives an empty result.
