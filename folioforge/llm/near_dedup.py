@@ -99,7 +99,7 @@ def _similar(edges: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     nodes = shared_table(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "nodes")
     few = nodes.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(nodes) if few else nodes, texts["doc_id"] == nodes["id"], "left_semi")
-    sets = shared_table(chosen.mapInArrow(_sets, "id bigint, set array<int>"), "sets")
+    sets = shared_table(chosen.mapInArrow(_sets, f"id {dict(texts.dtypes)['doc_id']}, set array<int>"), "sets")
     left = edges.join(sets.select(F.col("id").alias("dst"), F.col("set").alias("t")), "dst")
     both = left.join(sets.select(F.col("id").alias("src"), F.col("set").alias("s")), "src")
     shared = both.select("src", "dst", F.size(F.array_intersect("s", "t")).alias("n"), F.size("s").alias("p"), F.size("t").alias("q"))
@@ -112,12 +112,14 @@ def duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     A group is a connected component of pairs whose sets of word 3-grams have Jaccard similarity of at least
     ``threshold``. A text of one or two words matches only the same words, one without words (empty, punctuation only)
-    exactly the same text; null has no duplicates. Rows without a doc_id take no part. Rows that repeat a doc_id count as one document.
+    exactly the same text; null has no duplicates. Rows without a doc_id take no part; doc_id is of any type with an order.
+    Rows that repeat a doc_id count as one document.
     Whole texts are compared, of any length; further columns are not looked at; an empty table gives an empty result.
     """
     arrow_rows(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    signed = texts.mapInArrow(_signatures, "id bigint, f1 bigint, f2 bigint, a array<bigint>, b array<bigint>")
+    kind = dict(docs.dtypes)["doc_id"]
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    signed = texts.mapInArrow(_signatures, f"id {kind}, f1 bigint, f2 bigint, a array<bigint>, b array<bigint>")
     # one row for each distinct sequence of words (or text without words); equal words have equal a and b
     signed = shared_table(signed, "signed")
     rep = signed.groupBy("f1", "f2").agg(F.min("id").alias("src"), F.count(F.lit(1)).alias("n"))
@@ -141,9 +143,18 @@ def duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the members of a duplicate group but that of the least doc_id; all columns and other rows stay."""
+    """``docs`` without the members of a duplicate group but that of the least doc_id, and of rows that repeat a doc_id one,
+    the first by text; rows without a doc_id all stay, and so do all columns."""
     groups = duplicate_groups(docs, threshold)
-    return drop_ids(docs, groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__id")))
+    kept = drop_ids(docs, groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__id")))
+    again = docs.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__id is not null and __n > 1").select("__id")
+    again = shared_table(again, "again")
+    if again.isEmpty():
+        return kept
+    few = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    twice = kept.join(few, kept["doc_id"] == few["__id"], "left_semi")
+    one = twice.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__rn = 1").drop("__rn")
+    return drop_ids(kept, again).unionByName(one)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
