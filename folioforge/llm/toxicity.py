@@ -4,7 +4,7 @@ Many noisy voters look at a text: lexicons of insults, patterns of abuse and sho
 words, lexicons and word-stem patterns induced from a bounded sample of labelled rows. A generative label model, fitted
 to the counts of all vote patterns of the whole corpus without using labels, estimates how accurate each voter is and
 which voters are correlated beyond what the hidden label explains; correlated voters are modelled jointly, so that they
-aren't counted twice. Its posterior labels train a linear classifier on words and word stems, which scores every text.
+aren't counted twice (in groups of up to GROUP). Its posterior labels train a linear classifier on words and word stems, which scores every text.
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ STEM = 4
 INDUCED_VOTERS = 3
 #: Correlation of two voters within a class, above which they are modelled jointly.
 CORRELATED = 0.25
+#: Voters in a group that is modelled jointly, at most: its table has 2 ** GROUP entries a class. The strongest correlations are
+#: taken first; those that would make a larger group are left out, and their voters count as independent.
+GROUP = 4
 BITS = 18
 THRESHOLD = 0.5
 
@@ -233,7 +236,7 @@ class LabelModel:
                 i = parent[i]
             while parent[j] != j:
                 j = parent[j]
-            if i != j and size[i] + size[j] <= 4:
+            if i != j and size[i] + size[j] <= GROUP:
                 parent[j], size[i] = i, size[i] + size[j]
         self.correlations = [(i, j, c) for (i, j), c in pairs.items()]
         roots: dict[int, list[int]] = {}
