@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -60,7 +61,9 @@ def test_words_of_a_batch():
 # ---- 1
 
 def _encoding():
-    tiktoken, tokens = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    import public_tokenizers as tokens
+    import tiktoken
+
     return tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.RANKS), special_tokens={})
 
 
@@ -122,8 +125,8 @@ def _shared(a, b, least):
 
 def test_decontamination_finds_every_long_span(spark, docs_of):
     rng = random.Random(4)
-    items = [prose(rng, n) for n in (10, 12, 14, 30, 60, 9, 5)]
-    texts = AWKWARD + [prose(rng, 40) for _ in range(20)]
+    items = [prose(rng, n) for n in (10, 12, 14, 30, 60, 9, 8, 7, 5, 3)] + ["unheard"]
+    texts = AWKWARD + [prose(rng, 40) for _ in range(20)] + ["an unheard-of word"]
     for item in items:
         w = item.split()
         for n in (9, 10, 11, len(w)):
@@ -139,8 +142,7 @@ def test_decontamination_finds_every_long_span(spark, docs_of):
     want = {}
     for d, t in enumerate(texts):
         for i, x in enumerate(items):
-            least = min(decontam.MIN_SPAN, max(len(words_of(x)), decontam.GUARANTEE))
-            if len(words_of(x)) >= decontam.GUARANTEE and (n := _shared(words_of(t), words_of(x), least)):
+            if n := _shared(words_of(t), words_of(x), min(decontam.MIN_SPAN, len(words_of(x)))):
                 want[d, i] = n
     assert dict(best) == want and want
     clean = decontam.decontaminate(docs_of(texts, extra=True), bench)
@@ -211,16 +213,23 @@ def test_licenses_against_dynamic_programming(docs_of):
     found = defaultdict(list)
     for r in got:
         found[r.doc_id].append(r)
-        low, notice = license_scan._lower(texts[r.doc_id]), license_scan.NOTICES[r.license]
-        assert r.edits <= license_scan.edits(notice) and r.end in _edit_ends(notice, low, r.edits)
+        (low, back), notice = license_scan.folded(texts[r.doc_id]), license_scan.NOTICES[r.license]
+        assert r.edits <= license_scan.edits(notice) and r.end in {back(e - 1) + 1 for e in _edit_ends(notice, low, r.edits)}
     for d, t in enumerate(texts):
-        low = license_scan._lower(t or "")
+        low, back = license_scan.folded(t or "")
         for name, notice in notices:
             for end in _edit_ends(notice, low, license_scan.edits(notice)):
+                end = back(end - 1) + 1
                 assert any(r.start < end + license_scan.edits(notice) and r.end > end - len(notice) - license_scan.edits(notice) for r in found[d]), (d, name)
     assert license_scan.find_licenses(docs_of([])).count() == 0
 
 
+def test_licenses_in_comments(docs_of):
+    wrapped = "x = 1\n# Licensed under the Apache  License,\n#     Version 2.0 (the rest)\n/*\n * Redistribution and use in source and\n * binary forms, with or\r\n *\twithout modification\n */"
+    got = {(r.license, wrapped[r.start : r.end], r.edits) for r in license_scan.find_licenses(docs_of([wrapped])).collect()}
+    assert got == {("Apache-2.0", "Licensed under the Apache  License,\n#     Version 2.0", 0), ("BSD", "Redistribution and use in source and\n * binary forms, with or\r\n *\twithout modification", 0)}
+
+
 # ---- 6
 
 def test_repeated_passages_equal_brute_force(docs_of):
@@ -260,6 +269,59 @@ def test_label_model_recovers_accuracies_and_correlation():
     assert (3, 4) in {(i, j) for i, j, _ in m.correlations} and any({3, 4} <= set(g) for g in m.groups)
 
 
+def test_label_model_against_enumeration():
+    """Posteriors and one step of EM by loops over patterns, classes and groups."""
+    rng = np.random.default_rng(17)
+    patterns = ((np.arange(32)[:, None] >> np.arange(5)) & 1).astype(np.int8)
+    counts = rng.integers(1, 200, 32).astype(float)
+    m = toxicity.LabelModel(patterns, counts, rounds=7)
+    assert sorted(x for g in m.groups for x in g) == list(range(5)) and all(len(g) <= toxicity.GROUP for g in m.groups)
+
+    def entry(g, p):
+        return sum(int(p[i]) << k for k, i in enumerate(g))
+
+    post = m.posterior(patterns)
+    for p, got in zip(patterns, post):
+        joint = [1 - m.prior, m.prior]
+        for g, t in zip(m.groups, m.tables):
+            joint = [joint[c] * t[c][entry(g, p)] for c in (0, 1)]
+        assert abs(got - joint[1] / sum(joint)) < 1e-9
+    # what a step from these posteriors must give
+    n = toxicity.LabelModel.__new__(toxicity.LabelModel)
+    n.m, n.groups = m.m, m.groups
+    start = [0.02 if not p.any() else min(0.95, 0.55 + 0.15 * int(p.sum())) for p in patterns]
+    n._fit(patterns, counts, 1)
+    assert abs(n.prior - min(0.5, max(1e-4, sum(a * c for a, c in zip(start, counts)) / counts.sum()))) < 1e-9
+    for g, t in zip(n.groups, n.tables):
+        for c in (0, 1):
+            cells = [0.5] * (1 << len(g))
+            for p, a, k in zip(patterns, start, counts):
+                cells[entry(g, p)] += k * (a if c else 1 - a)
+            assert np.allclose(t[c], [x / sum(cells) for x in cells])
+
+
+def test_votes_and_scores_against_plain_loops():
+    rng = random.Random(27)
+    words = [*WORDS, "idiot", "you", "trash", "pathetic", "hate", "clown", "!!"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", ", ", "! "]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", "you idiot!! what a clown!! trash!!"]
+    lexicons = [np.sort(toxicity._word_hash(v.split())) for v in toxicity.LEXICONS.values()]
+    got = toxicity.votes(pa.array(texts), lexicons)
+    sets = [set(v.split()) for v in toxicity.LEXICONS.values()]
+    second = {"you", "your", "youre", "du", "vous", "tu", "usted"}
+    for t, row in zip(texts, got.tolist()):
+        w = words_of(t)
+        hits = [i for i, x in enumerate(w) if any(x in s for s in sets)]
+        want = [int(any(x in s for x in w)) for s in sets]
+        want += [int(any(w[j] in second for i in hits for j in range(max(0, i - 4), i))), int(any(b - a <= 25 for a, b in zip(hits, hits[1:]))), int(t.count("!!") >= 3)]
+        assert row == want
+    weights = np.random.default_rng(3).normal(size=1 << toxicity.BITS)
+    slot = lambda x, seed=0: int(toxicity.Words(pa.array([x])).hashes(seed)[0] >> np.uint64(64 - toxicity.BITS))
+    for t, p in zip(texts, toxicity.score(pa.array(texts), weights, -0.3)):
+        w = set(words_of(t))
+        s = -0.3 + sum(weights[slot(x)] for x in w) + sum(weights[slot(x, 7)] for x in {x[: toxicity.STEM] for x in w if len(x) > toxicity.STEM})
+        assert abs(p - 1 / (1 + np.exp(-s))) < 1e-9
+
+
 def test_toxicity_held_out(spark, docs_of):
     docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id for r in toxicity.toxic_documents(docs, labels.where("pmod(xxhash64(doc_id), 2) = 0")).collect()}
@@ -345,6 +407,53 @@ def test_secrets_against_regular_expressions(docs_of):
     assert secret_scan.find_secrets(docs_of([])).count() == 0
 
 
+def test_secrets_as_they_are_written(docs_of):
+    hexa = "0123456789abcdef" * 3
+    texts = [f'{{"api_key": "{hexa}"}}', f"db_password = '{hexa}'", "see https://u:p%40ss!@host.com/x", f"accessToken={hexa}", "é" + "AKIA" + "A" * 16, "xAKIA" + "A" * 16]
+    got = {r.doc_id: (r.rule, texts[r.doc_id][r.start : r.end]) for r in secret_scan.find_secrets(docs_of(texts)).collect()}
+    assert got == {0: ("hex_assignment", f'api_key": "{hexa}'), 1: ("hex_assignment", f"db_password = '{hexa}"), 2: ("basic_auth_url", "https://u:p%40ss!@host"), 3: ("hex_assignment", f"accessToken={hexa}")} | {4: ("aws_access_key", "AKIA" + "A" * 16)}
+
+
+def test_secrets_take_time_in_proportion():
+    rules = tuple(secret_scan.RULES.items())
+    secret_scan.automata(rules)
+    long = 1 << 20
+    for text in ("key=" + "a0" * (long // 2), "key: " * (long // 5), "eyJ" + "abcdefghi." * (long // 10), "token = " + " " * long + "f" * 40, "a://b:" + "c!" * (long // 2)):
+        began = time.process_time()
+        found = secret_scan.find(pa.array([text]), rules)
+        assert time.process_time() - began < 6
+        assert [a for _, _, a, _ in found] == [0] * text.startswith(("key=", "eyJ", "token"))
+
+
+# ---- all
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    """Rows without a doc_id, repeated rows, rows of one doc_id with different texts; ids that are strings; see the docstrings."""
+    rng = random.Random(31)
+    long = prose(rng, 90)
+    rows = [("a", long, "x"), ("a", long, "x"), ("b", long + " more", "y"), (None, long, "z"), (None, long, "z"), ("c", None, "n"), ("d", "", "n"), ("e", "two words", "n"), ("e", "other words", "n"),
+            ("f", 'key = "' + "ab" * 20 + '" released under the MIT license.', "n"), ("f", 'key = "' + "ab" * 20 + '" released under the MIT license.', "n")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, start string")
+    rows_of = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    texts = [r[1] for r in rows]
+    enc = _encoding()
+    assert rows_of(bpe.encode(docs), "doc_id", "n_tokens") == rows_of(spark.createDataFrame([(d, None if t is None else len(enc.encode_ordinary(t))) for d, t, _ in rows], "doc_id string, n_tokens int"), "doc_id", "n_tokens")
+    assert quality.clean(docs).columns == docs.columns
+    bench = spark.createDataFrame([("i", long[:200], "q"), ("i", long[:200], "q"), (None, long, "q"), ("j", "two words", "q")], "item_id string, text string, fp string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contamination(docs, bench).collect()} == {("a", "i"), ("b", "i"), ("e", "j")}
+    assert sorted(r.doc_id or "" for r in decontam.decontaminate(docs, bench).collect()) == ["", "", "c", "d", "f", "f"]
+    assert [(r.doc_id, r.license) for r in license_scan.find_licenses(docs).collect()] == [("f", "MIT")] * 2
+    assert [(r.doc_id, r.rule) for r in secret_scan.find_secrets(docs).collect()] == [("f", "hex_assignment")] * 2
+    assert sorted((r.doc_id, r.n_docs, r.first_doc_id, r.n_words) for r in substring_dedup.repeated_passages(docs).collect()) == [("a", 2, "a", 90), ("b", 2, "a", 90)]
+    none = spark.createDataFrame([(None, 1, 1), ("a", None, None)], "doc_id string, quality int, toxic int")
+    assert toxicity.toxic_documents(docs, none).count() == 0
+    assert {(r.doc_id, r.group_id) for r in near_dedup.duplicate_groups(docs).collect()} == {("a", "a"), ("b", "a")}
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or "", (r.text or "")[:5]) for r in kept.collect()) == sorted([("a", long[:5]), ("", long[:5]), ("", long[:5]), ("c", ""), ("d", ""), ("e", "other"), ("f", "key =")])
+    lines = line_dedup.dedup_lines(docs, max_docs=1)
+    assert lines.count() == len(rows) and lines.columns == docs.columns
+
+
 # ---- 10
 
 def test_line_dedup(spark, docs_of):
