@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -294,9 +295,26 @@ def fill_template(template: str | Column, values: Mapping[str, Column]) -> Colum
     return out
 
 
-def language_directive(source: str, output: str) -> str:
-    """What a prompt says about languages; nothing where both are English."""
-    return "" if source == output == "en" else f"The sources are in {source}; write in {output}."
+NAMES = dict(zip(LANGUAGES, ("English", "Danish", "German", "French", "Spanish", "Norwegian", "Swedish")))
+#: What a prompt says about languages, by who is asked.
+DIRECTIVES = {
+    "extractor": "The chunk is in {source}: free text of the record stays in {source}, mentions are quoted as they stand, and new folders get names in {output}.",
+    "synthesis": "The synthesis is in {output}. Mentions, relationships, claims, timeline and sources are given and stay as they are, in whatever language.",
+    "dox": "Descriptions and reasons are in {output}; titles of pages and names stay as they are.",
+    "curation": "Topics and entities are judged in {output}; samples stay in {source}. A name and its translation name one thing.",
+}
+
+
+def language_directive(source: str, output: str, role: str = "synthesis") -> str:
+    """The directive of a role; nothing where both languages are English."""
+    return "" if source == output == "en" else DIRECTIVES[role].format(source=NAMES[source], output=NAMES[output])
+
+
+def apply_directive(prompt: str, directive: str) -> str:
+    """The prompt with its ``{languageDirective}`` filled; without one the block goes, heading and all."""
+    if directive.strip():
+        return prompt.replace("{languageDirective}", directive)
+    return re.sub(r"=== LANGUAGE ===\r?\n\{languageDirective\}\r?\n\r?\n", "", prompt)
 
 
 def clean_path(x: Column | str) -> Column:

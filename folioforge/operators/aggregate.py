@@ -34,12 +34,12 @@ def source_slugs(records: DataFrame) -> DataFrame:
 
 
 def entities(obs: DataFrame, memory: DataFrame) -> DataFrame:
-    """First-seen scalars by slug; obs(slug, name, type, folder, significance, chunk_ord, pos), memory(slug, folder).
+    """First-seen scalars by slug; obs(slug, name, type, folder, significance[, disambiguation], chunk_ord, pos), memory(slug, folder).
 
     The folder of earlier runs goes before the first-seen one.
     """
     place = F.struct(*ORD)
-    g = obs.groupBy("slug").agg(*[F.min_by(c, place).alias(c) for c in ("name", "type", "folder", "significance")], F.min(place).alias("first_at"), F.count(F.lit(1)).alias("n_obs"))
+    g = obs.groupBy("slug").agg(*[F.min_by(c, place).alias(c) for c in ("name", "type", "folder", "significance", "disambiguation") if c in obs.columns], F.min(place).alias("first_at"), F.count(F.lit(1)).alias("n_obs"))
     return g.join(memory.select("slug", F.col("folder").alias("__m")), "slug", "left").withColumn("folder", F.coalesce("__m", "folder")).drop("__m")
 
 
@@ -86,6 +86,62 @@ def dedupe(items: DataFrame, kind: str) -> DataFrame:
     return keep_first(items, KEYS[kind], ORD)
 
 
+def with_evidence(known: DataFrame, **lists: DataFrame) -> DataFrame:
+    """``known`` with a column a kind: its de-duplicated items(slug, chunk_ord, pos, ...) as an array in order, empty where there
+    are none. One entity's lists are one page's content and are put together only here; everything before works on rows."""
+    out = known
+    for kind, items in lists.items():
+        once = dedupe(items, kind) if kind in KEYS else items
+        rest = [c for c in once.columns if c not in ("slug", *ORD)]
+        g = once.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct(*ORD, *rest))).alias(kind))
+        out = out.join(g, "slug", "left").withColumn(kind, F.coalesce(kind, F.array().cast(g.schema[kind].dataType)))
+    return out
+
+
+def merge_entities(known: DataFrame, merges: DataFrame, disk: DataFrame) -> DataFrame:
+    """Entities of known(slug, name, type, folder, significance, aliases, first_at, n_obs) after merges(old, new).
+
+    A survivor keeps its own scalars; one that is only on disk(slug, title, type, folder) takes them from there, else from its slug,
+    type unknown and folder entities. Names of the merged away, their own aliases before them, become its aliases, each once.
+    """
+    on = disk.select("slug", F.col("title").alias("__t"), F.col("type").alias("__y"), F.col("folder").alias("__f"))
+    titled = F.coalesce(F.when(F.col("__t") != "", F.col("__t")), T.title_case("slug"))
+    none = F.array().cast("array<string>")
+    away = merges.select(F.col("old").alias("slug"), "new").distinct().join(known, "slug", "left").join(on, "slug", "left")
+    names = away.select("new", "slug", F.concat(F.coalesce("aliases", none), F.array(F.coalesce("name", titled))).alias("a"), "first_at", F.coalesce("n_obs", F.lit(0)).alias("n"))
+    got = names.groupBy(F.col("new").alias("slug")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slug", "a"))), lambda x: x["a"])).alias("__a"), F.sum("n").alias("__n"), F.min("first_at").alias("__at"))
+    stay = known.join(merges.select(F.col("old").alias("slug")).distinct(), "slug", "left_anti")
+    m = stay.withColumn("__k", F.lit(True)).join(got, "slug", "full").where("__k or __a is not null").join(on, "slug", "left")
+    return m.select(
+        "slug",
+        F.coalesce("name", titled).alias("name"),
+        F.coalesce("type", "__y", F.lit("unknown")).alias("type"),
+        F.coalesce("folder", "__f", F.lit("entities")).alias("folder"),
+        F.coalesce("significance", F.lit("")).alias("significance"),
+        F.array_distinct(F.concat(F.coalesce("aliases", none), F.coalesce("__a", none))).alias("aliases"),
+        F.coalesce("first_at", "__at").alias("first_at"),
+        (F.coalesce("n_obs", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("n_obs"),
+    )
+
+
+def candidates(known: DataFrame, items: DataFrame, disk: DataFrame, text: str, most: int) -> DataFrame:
+    """``(pos, slug, title, folder, n, samples, aliases, on_disk)``: what curation judges.
+
+    known(slug, name, folder, aliases, first_at) with the number of its de-duplicated items(slug, chunk_ord, pos, text) and the first
+    ``most`` of them, in the order of first appearance; then what only disk(slug, title, folder, n, samples, aliases) has, by slug.
+    """
+    n = items.groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
+    none = F.array().cast("array<string>")
+    d = disk.select("slug", F.coalesce("aliases", none).alias("__al"), F.lit(True).alias("__d"))
+    live = known.join(n, "slug", "left").join(samples(items, "slug", text, most), "slug", "left").join(d, "slug", "left")
+    live = live.select(F.struct(F.lit(0).alias("k"), F.col("first_at.chunk_ord").alias("c"), F.col("slug").alias("s")).alias("pos"), "slug", F.col("name").alias("title"), "folder", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("samples", none).alias("samples"), F.array_distinct(F.concat(F.coalesce("aliases", none), F.coalesce("__al", none))).alias("aliases"), F.coalesce("__d", F.lit(False)).alias("on_disk"))
+    first = live.schema["pos"].dataType["c"].dataType
+    titled = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(T.title_case("slug"))
+    gone = disk.join(known.select("slug"), "slug", "left_anti")
+    gone = gone.select(F.struct(F.lit(1).alias("k"), F.lit(None).cast(first).alias("c"), F.col("slug").alias("s")).alias("pos"), "slug", titled.alias("title"), "folder", F.col("n").cast("bigint").alias("n"), F.transform(F.slice(F.coalesce("samples", none), 1, most), T.truncate_sample).alias("samples"), F.coalesce("aliases", none).alias("aliases"), F.lit(True).alias("on_disk"))
+    return live.unionByName(gone)
+
+
 def topics(claims: DataFrame) -> DataFrame:
     """``(slug, title, claims)``: claims by their type, in order."""
     one = F.struct("chunk_ord", "pos", "text", "entities", "page", "file", "pages")
@@ -94,8 +150,37 @@ def topics(claims: DataFrame) -> DataFrame:
 
 def without_own_edges(inc: DataFrame, out: DataFrame) -> DataFrame:
     """Incoming edges that the entity doesn't show as its own outgoing ones."""
-    own = out.select("subject", "object", "predicate", "page", "file", "pages").distinct()
-    return inc.join(own, ["subject", "object", "predicate", "page", "file", "pages"], "left_anti")
+    key = ["slug", "subject", "object", "predicate", "page", "file", "pages"]
+    return inc.join(out.select(*key).distinct(), key, "left_anti")
+
+
+def without_member_edges(inc: DataFrame, out: DataFrame) -> DataFrame:
+    """Incoming edges inc(into, slug, subject, ...) of a composite's members that no other member of it shows as its own outgoing
+    ones, out(into, slug, subject, object, ...)."""
+    o = out.select(*[F.col(c).alias(f"__{c}") for c in ("into", "slug", "subject", "object", "predicate", "page", "file", "pages")]).distinct()
+    same = (F.col("into") == F.col("__into")) & (F.col("slug") == F.col("__object"))
+    for c in ("subject", "predicate", "page", "file", "pages"):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return inc.join(o, same & (F.col("slug") != F.col("__slug")), "left_anti")
+
+
+def fork_duplicates(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """``(path, canonical, action)`` of pages(path, slug, hash, recorded) that lie elsewhere than their entity of known(slug, folder):
+    removed if unchanged since written, else kept for review."""
+    at = known.select("slug", F.concat_ws("/", "folder", F.concat("slug", F.lit(".md"))).alias("canonical"))
+    action = F.when(F.col("recorded") == F.col("hash"), "remove").otherwise("review")
+    return pages.join(at, "slug").where("path <> canonical").select("path", "canonical", action.alias("action"))
+
+
+def topic_titles(claims: DataFrame, titles: DataFrame) -> DataFrame:
+    """``(slug, titles)``: the distinct titles of a topic's entities, sorted; a slug without a title speaks for itself."""
+    e = claims.select(F.col("type").alias("topic"), F.explode("entities").alias("slug")).distinct().join(titles.select("slug", "title"), "slug", "left")
+    return e.groupBy(F.col("topic").alias("slug")).agg(F.array_sort(F.collect_set(F.coalesce("title", "slug"))).alias("titles"))
+
+
+def by_title(df: DataFrame, title: str = "title") -> DataFrame:
+    """In the order people read titles in: letters before case and accents. Slugs need none, their alphabet sorts as it is."""
+    return df.orderBy(F.collate(title, "UNICODE"))
 
 
 def comparisons(tables: DataFrame, known: DataFrame) -> DataFrame:
@@ -115,16 +200,35 @@ def bridge(comparison: DataFrame, claims: DataFrame) -> DataFrame:
     """``(key, text, type, file, pages, shared)``: claims that share an entity with a comparison's tables."""
     e = comparison.select("key", F.explode("entities").alias("e"))
     c = claims.select("text", "type", "file", "pages", *ORD, F.explode("entities").alias("e"))
+    # a claim meets a comparison once for each entity they share
     g = e.join(c, "e").groupBy("key", "text", "type", "file", "pages").agg(F.array_sort(F.collect_set("e")).alias("shared"), F.min(F.struct(*ORD)).alias("at"))
     return g
 
 
-def number_citations(evidence: DataFrame, page: str = "page_id", kind: str = "kind") -> DataFrame:
+def number_citations(evidence: DataFrame, page: str = "page_id", kind: str = "kind", order: tuple[str, ...] = ORD) -> DataFrame:
     """``(page, file, pages, n)``: source places numbered by first appearance; ``kind`` ranks mentions, relations, claims, incoming."""
-    first = evidence.groupBy(page, "file", "pages").agg(F.min(F.struct(kind, *ORD)).alias("at"))
+    first = evidence.groupBy(page, "file", "pages").agg(F.min(F.struct(kind, *order)).alias("at"))
     return first.withColumn("n", F.row_number().over(Window.partitionBy(page).orderBy("at", "file", "pages"))).drop("at")
 
 
+def composite_citations(members: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(into, file, pages, n)``: evidence(slug, kind, file, pages, chunk_ord, pos) of all members(into, pos, slug), kind by kind, in
+    the order of the members within a kind."""
+    e = members.select("into", F.col("pos").alias("member"), "slug").join(evidence, "slug")
+    return number_citations(e, "into", "kind", ("member", *ORD))
+
+
+def comparison_citations(comparison: DataFrame, claims: DataFrame) -> DataFrame:
+    """``(key, file, pages, n)``: the tables of comparison(key, sections) in their order, each with its page, then the claims of the
+    bridge, claims(key, file, pages, at)."""
+    t = comparison.select("key", F.posexplode("sections").alias("i", "s")).select("key", "s.file", F.col("s.page").cast("string").alias("pages"), F.struct(F.lit(0).alias("k"), "i").alias("at"))
+    first = t.groupBy("key", "file", "pages").agg(F.min("at.i").alias("i"))
+    b = claims.groupBy("key", "file", "pages").agg(F.min("at").alias("b"))
+    every = first.join(b, ["key", "file", "pages"], "full")
+    w = Window.partitionBy("key").orderBy(F.col("i").isNull(), "i", "b", "file", "pages")
+    return every.withColumn("n", F.row_number().over(w)).select("key", "file", "pages", "n")
+
+
 def frontmatter_sources(evidence: DataFrame, page: str = "page_id") -> DataFrame:
     """``(page, file, pages)``: sorted distinct page ranges of each file, joined."""
     return evidence.groupBy(page, "file").agg(F.array_join(F.array_sort(F.collect_set("pages")), ", ").alias("pages"))
@@ -141,6 +245,20 @@ def related(edges: DataFrame, claims: DataFrame) -> DataFrame:
     return e.union(pairs).where("slug <> other").groupBy("slug").agg(F.array_sort(F.collect_set("other")).alias("related"))
 
 
+def related_composite(members: DataFrame, edges: DataFrame, claims: DataFrame) -> DataFrame:
+    """``(into, related)``: neighbours of a composite's members(into, slug) that are no members of it."""
+    r = related(edges, claims).select("slug", F.explode("related").alias("other"))
+    m = members.select("into", "slug").distinct()
+    other = m.join(r, "slug").select("into", F.col("other").alias("slug")).distinct().join(m, ["into", "slug"], "left_anti")
+    return other.groupBy("into").agg(F.array_sort(F.collect_set("slug")).alias("related"))
+
+
+def related_comparison(comparison: DataFrame, claims: DataFrame) -> DataFrame:
+    """``(key, related)``: entities of a comparison's tables and of its bridge's claims(key, entities), without the key itself."""
+    e = comparison.select("key", F.explode("entities").alias("other")).union(claims.select("key", F.explode("entities")))
+    return e.where("key <> other").groupBy("key").agg(F.array_sort(F.collect_set("other")).alias("related"))
+
+
 def samples(items: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """The first ``most`` texts of each key, truncated."""
     w = Window.partitionBy(key).orderBy(*ORD)
@@ -149,8 +267,11 @@ def samples(items: DataFrame, key: str, text: str, most: int) -> DataFrame:
 
 
 def composite(members: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``(into, title, items)``: evidence of 2 to 4 members in the members' order; members(into, pos, slug, title), evidence(slug, kind, chunk_ord, pos, text)."""
-    titles = members.groupBy("into").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"]), " — ").alias("title"))
+    """``(into, title, items)``: evidence of 2 to 4 members in the members' order; members(into, pos, slug, title[, aliases, contexts]),
+    whose aliases and contexts are pooled, evidence(slug, kind, chunk_ord, pos, text)."""
+    none = F.array().cast("array<string>")
+    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, none))))).alias(c) for c in ("aliases", "contexts") if c in members.columns]
+    titles = members.groupBy("into").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"]), " — ").alias("title"), *lists)
     e = members.select("into", F.col("pos").alias("member"), "slug").join(evidence.withColumnRenamed("pos", "at"), "slug")
     items = e.groupBy("into").agg(F.array_sort(F.collect_list(F.struct("member", "kind", "chunk_ord", "at", "slug", "text"))).alias("items"))
     return titles.join(items, "into", "left")

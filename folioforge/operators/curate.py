@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from itertools import groupby
 
 import pandas as pd
@@ -103,6 +104,18 @@ def vetoed_by_edits(edges: DataFrame, disk: DataFrame) -> DataFrame:
     return edges.join(edited, "from", "left_semi")
 
 
+def drops_vetoed(drops: DataFrame, disk: DataFrame) -> DataFrame:
+    """drops(slug) whose page was edited by hand; disk as in ``vetoed_by_edits``."""
+    return drops.join(disk.where(~F.col("hash").eqNullSafe(F.col("recorded"))).select("slug"), "slug", "left_semi")
+
+
+def clusters_vetoed(clusters: DataFrame, disk: DataFrame) -> DataFrame:
+    """clusters(members, ...) of which one member's page was edited by hand: the whole cluster is off."""
+    edited = disk.where(~F.col("hash").eqNullSafe(F.col("recorded"))).select("slug")
+    hit = clusters.select("members", F.explode("members").alias("slug")).join(edited, "slug", "left_semi")
+    return clusters.join(hit.select("members").distinct(), "members", "left_semi")
+
+
 def merge_topics(claims: DataFrame, merges: DataFrame) -> DataFrame:
     """claims(slug, text, chunk_ord, pos): absorbed claims join the survivor's, without texts it has; its own all stay."""
     m = claims.join(merges.select(F.col("old").alias("slug"), "new"), "slug", "left").withColumn("own", F.col("new").isNull()).withColumn("slug", F.coalesce("new", "slug")).drop("new")
@@ -115,8 +128,9 @@ def drop_topics(claims: DataFrame, drops: DataFrame) -> DataFrame:
 
 
 def apply_clusters(entities: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities that stay, and members(into, pos, slug); of several clusters for one ``into`` the first."""
-    first = keep_first(clusters.withColumn("k", F.array_join("members", " ")), ["into"], ["k"]).drop("k")
+    """Entities that stay, and members(into, pos, slug), of clusters(members, into, at); of several for one ``into`` the first
+    decided, the least ``at``."""
+    first = keep_first(clusters.withColumn("k", F.array_join("members", " ")), ["into"], ["at", "k"]).drop("k")
     members = first.select("into", F.posexplode("members").alias("pos", "slug"))
     return entities.join(members.select("slug").distinct(), "slug", "left_anti"), members
 
@@ -149,6 +163,61 @@ def denials(proposed: DataFrame, judged: DataFrame) -> DataFrame:
     return p.join(j, ["a", "b"], "left").where(F.coalesce("verdict", F.lit("deny")) != "confirm").select("from", "into")
 
 
+def chain(*maps: DataFrame) -> DataFrame:
+    """``(old, new)`` of maps(old, new) that are applied one after another."""
+    out = maps[0].select("old", "new")
+    for m in maps[1:]:
+        step = m.select(F.col("old").alias("new"), F.col("new").alias("__n"))
+        went = out.join(step, "new", "left").select("old", F.coalesce("__n", "new").alias("new"))
+        out = went.unionByName(m.select("old", "new").join(out.select("old"), "old", "left_anti"))
+    return out.where("old <> new")
+
+
+@dataclass
+class Stages:
+    """What ``apply_in_order`` gives: ``remap(old, new)`` of all stages, the candidates before and after the automatic merges, what
+    the judge was asked, and the evidence as it is at last, with the members of clusters."""
+
+    remap: DataFrame
+    before: DataFrame
+    candidates: DataFrame
+    proposed: DataFrame
+    asked: DataFrame
+    evidence: DataFrame
+    members: DataFrame
+
+
+def apply_in_order(evidence: DataFrame, build: Callable, sticky: DataFrame, sticky_clusters: DataFrame, find: Callable, judge: Callable, disk: DataFrame | None = None) -> Stages:
+    """Recorded merges first, then automatic ones on the candidates that leaves, then the judge's on candidates made anew, then clusters.
+
+    evidence(slug, ...); ``build(evidence)`` gives candidates(slug, ...), ``find(candidates)`` gives pairs(from, into, signal, tier)
+    and clusters(members, class, into, signal, ...), ``judge(open, pairs, clusters)`` gives merges(from, into) and clusters(members,
+    into). sticky(from, into) and sticky_clusters(members, into, at) are records of earlier runs. Members of recorded clusters
+    are no candidates. With disk(slug, hash, recorded), merges of pages and clusters with members that were edited by hand are off.
+    """
+    keep = lambda e: e if disk is None else e.join(vetoed_by_edits(e, disk).select("from", "into"), ["from", "into"], "left_anti")
+    whole = lambda c: c if disk is None else c.join(clusters_vetoed(c, disk).select("members"), "members", "left_anti")
+    into = lambda e, m: e.join(m.select(F.col("old").alias("slug"), F.col("new").alias("__new")), "slug", "left").withColumn("slug", F.coalesce("__new", "slug")).drop("__new")
+    first, _ = collapse(keep(sticky), lenient=True)
+    old_clusters = whole(sticky_clusters).select("members", "into", F.struct(F.lit(0).alias("stage"), F.col("at")).alias("at"))
+    held = old_clusters.select(F.explode("members").alias("slug")).distinct()
+    now = into(evidence, first)
+    before = build(now).join(held, "slug", "left_anti")
+    pairs, clusters = find(before)
+    second, _ = collapse(keep(pairs.where("tier = 'auto'").select("from", "into")), lenient=True)
+    now = into(now, second)
+    cands = build(now).join(held, "slug", "left_anti")
+    proposed, asked_clusters = still_present(pairs.where("tier = 'proposed'"), cands), clusters_present(clusters, cands)
+    asked = open_candidates(cands, proposed, asked_clusters)
+    merges, decided = judge(asked, proposed, asked_clusters)
+    third, _ = collapse(keep(merges.select("from", "into")))
+    now = into(now, third)
+    new_clusters = whole(decided).select("members", "into", F.struct(F.lit(1).alias("stage"), F.concat_ws(" ", "members").alias("at")).alias("at"))
+    rest, members = apply_clusters(now, old_clusters.withColumn("at", F.struct("at.stage", F.col("at.at").cast("string").alias("at"))).unionByName(new_clusters))
+    remap = chain(first, second, third, members.where("slug <> `into`").select(F.col("slug").alias("old"), F.col("into").alias("new")).distinct())
+    return Stages(remap, before, cands, proposed, asked, rest, members)
+
+
 def open_candidates(candidates: DataFrame, pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """What no pair or cluster touches: only that goes to the expensive judge."""
     busy = pairs.select(F.col("from").alias("slug")).union(pairs.select("into")).union(clusters.select(F.explode("members")))
@@ -160,12 +229,23 @@ def still_present(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.join(s.withColumnRenamed("slug", "from"), "from", "left_semi").join(s.withColumnRenamed("slug", "into"), "into", "left_semi")
 
 
-def decision_records(merges: DataFrame, pairs: DataFrame, concern: str, run_id: str, decided_at: str) -> DataFrame:
-    """One record for each survivor; the signal is that of a matching pair, else 'model'."""
-    sig = pairs.select(F.col("from").alias("old"), F.col("into").alias("new"), "signal")
-    m = merges.join(sig, ["old", "new"], "left")
-    g = m.groupBy("new").agg(F.array_sort(F.collect_set("old")).alias("from"), F.coalesce(F.min("signal"), F.lit("model")).alias("signal"))
-    return g.select(F.lit(concern).alias("concern"), F.lit("merge").alias("action"), "from", F.col("new").alias("into"), "signal", F.lit(decided_at).alias("decidedAt"), F.lit(run_id).alias("runId"))
+def clusters_present(clusters: DataFrame, candidates: DataFrame) -> DataFrame:
+    """clusters(members, ...) of which every member is still a candidate."""
+    gone = clusters.select("members", F.explode("members").alias("slug")).join(candidates.select("slug").distinct(), "slug", "left_anti")
+    return clusters.join(gone.select("members").distinct(), "members", "left_anti")
+
+
+def decision_records(merges: DataFrame, pairs: DataFrame, concern: str, run_id: str, decided_at: str, drops: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """A record for each merge(old, new), drop(slug) and cluster(members, into, signal, class). A merge's signal is that of the
+    pair that proposed it, else 'model'; a cluster's ``from`` are its members but the one that leads."""
+    sig = pairs.groupBy(F.col("from").alias("old"), F.col("into").alias("new")).agg(F.min("signal").alias("signal"))
+    none = F.lit(None)
+    out = merges.join(sig, ["old", "new"], "left").select(F.lit("merge").alias("action"), F.array("old").alias("from"), F.col("new").alias("into"), F.coalesce("signal", F.lit("model")).alias("signal"), none.cast("int").alias("class"))
+    if drops is not None:
+        out = out.unionByName(drops.select(F.lit("drop").alias("action"), F.array("slug").alias("from"), none.cast("string").alias("into"), F.lit("model").alias("signal"), none.cast("int").alias("class")))
+    if clusters is not None:
+        out = out.unionByName(clusters.select(F.lit("cluster").alias("action"), F.array_sort(F.filter("members", lambda m: m != F.col("into"))).alias("from"), "into", "signal", "class"))
+    return out.select(F.lit(concern).alias("concern"), "*", F.lit(decided_at).alias("decidedAt"), F.lit(run_id).alias("runId"))
 
 
 def deletions(pages: DataFrame, merges: DataFrame, drops: DataFrame, members: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def citation_issues(pages: DataFrame, raw_files: DataFrame) -> DataFrame:
     names, texts = (F.regexp_extract_all("body", F.lit(pattern), F.lit(i)) for i in (1, 2))
     defs = p.select("path", F.posexplode(F.arrays_zip(names.alias("key"), texts.alias("text"))).alias("pos", "d")).select("path", F.col("d.key").alias("key"), F.col("d.text").alias("text"), "pos")
     defs = keep_first(defs, ["path", "key"], [F.desc("pos")]).drop("pos").withColumn("file", T.citation_file("text"))
-    cited = keys.join(defs, ["path", "key"], "left").join(F.broadcast(raw_files.select("file").distinct().withColumn("raw", F.lit(True))), "file", "left")
+    cited = keys.join(defs, ["path", "key"], "left").join(raw_files.select("file").distinct().withColumn("raw", F.lit(True)), "file", "left")
     bad = F.when(F.coalesce(T.strip("text"), F.lit("")) == "", "invalid").when(F.col("raw").isNull(), "missing source")
     marked = p.where(F.col("path").rlike("^(entities|topics)/")).select("path", "sources", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"\[\^(src\d+)\](?!:)"), F.lit(1)))).alias("key"))
     front = marked.join(defs, ["path", "key"]).where(~F.array_contains("sources", F.col("file"))).select("path", "key", F.lit("missing in frontmatter").alias("issue"))
@@ -97,11 +97,12 @@ def repair_targets(unresolved: DataFrame, slugs: DataFrame, aliases: DataFrame,
     """``(target, to, rule, candidates)``: a target that is the prefix of one slug only becomes that slug; else one that is
     the alias (as a slug of the wiki's language) of one page only; else the sorted candidates are reported.
 
-    Slugs are joined by their first letter, so that the prefix test runs inside blocks instead of over all pairs.
+    Each slug is joined by its own prefixes: an equi join, whatever they begin with.
     """
     t = unresolved.select("target").distinct().where("target <> ''")
-    s = slugs.select("slug").distinct()
-    pre = t.join(s, (F.substring("target", 1, 1) == F.substring("slug", 1, 1)) & F.startswith(F.col("slug"), F.col("target"))).groupBy("target").agg(F.array_sort(F.collect_set("slug")).alias("p"))
+    s = slugs.select("slug").where("slug <> ''").distinct()
+    pre = s.select("slug", F.explode(F.transform(F.sequence(F.lit(1), F.length("slug")), lambda n: F.substr("slug", F.lit(1), n))).alias("target"))
+    pre = pre.join(t, "target").groupBy("target").agg(F.array_sort(F.collect_set("slug")).alias("p"))
     al = t.withColumn("a", T.slugify("target", lang)).join(aliases.select(T.slugify("alias", lang).alias("a"), "slug"), "a").groupBy("target").agg(F.array_sort(F.collect_set("slug")).alias("q"))
     both = t.join(pre, "target", "left").join(al, "target", "left")
     none = F.array().cast("array<string>")
@@ -112,12 +113,26 @@ def repair_targets(unresolved: DataFrame, slugs: DataFrame, aliases: DataFrame,
 
 
 def repair_pages(pages: DataFrame, repairs: DataFrame) -> DataFrame:
-    """pages(path, body) that change, with the body repaired: only targets are rewritten, displays stay."""
+    """pages(path, body) whose body is repaired: only targets are rewritten, displays stay."""
     links = page_links(pages).select("path", "target").distinct()
     maps = links.join(repairs.where("to is not null").select("target", "to"), "target").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("target", "to"))).alias("m"))
     return pages.join(maps, "path").select("path", T.rewrite_links("body", F.col("m")).alias("body"))
 
 
+def repair_report(pages: DataFrame, known: DataFrame, slugs: DataFrame, aliases: DataFrame, lang: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A dry run over the entity and topic pages of pages(path, body) but indexes: ``(path, target, to, candidates, outcome)``, a row
+    for each broken target, repaired or unrepairable, and for each page without one (unchanged); and the bodies to write with
+    their hash, for the ledger of page hashes."""
+    scope = pages.where(F.col("path").rlike("^(entities|topics)/") & ~F.col("path").endswith("index.md"))
+    lost = resolve_links(page_links(scope), known).where("to is null and target <> ''").select("path", "target").distinct()
+    r = repair_targets(lost, slugs, aliases, lang)
+    rows = lost.join(r, "target").select("path", "target", "to", "candidates", F.when(F.col("to").isNull(), "unrepairable").otherwise("repaired").alias("outcome"))
+    calm = scope.select("path").join(lost.select("path").distinct(), "path", "left_anti")
+    none = F.lit(None).cast("string")
+    report = rows.unionByName(calm.select("path", none.alias("target"), none.alias("to"), F.array().cast("array<string>").alias("candidates"), F.lit("unchanged").alias("outcome")))
+    return report, repair_pages(scope, r).withColumn("hash", F.sha2("body", 256))
+
+
 def canonical_links(pages: DataFrame, known: DataFrame, titles: DataFrame) -> DataFrame:
     """pages(path, body) of which every link is a known key (kept), a unique title (made a link to its key) or plain text."""
     one = titles.groupBy(F.lower("title").alias("t")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).where("n = 1")

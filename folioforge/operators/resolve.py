@@ -55,18 +55,38 @@ def alias(c: DataFrame, lang: str) -> DataFrame:
     return m.select(F.col("slug").alias("from"), F.col("h_slug").alias("into"), F.lit("alias").alias("signal"), F.least("pos", "h_pos").alias("a_pos"), F.greatest("pos", "h_pos").alias("b_pos")).distinct()
 
 
-#: Capitalised words and an abbreviation in brackets, as texts introduce it.
-INTRODUCED = r"(\p{Lu}[\p{L}-]*(?:\s+[\p{L}-]+){0,6})\s*\((\p{Lu}[\p{L}]{1,9})\)"
+#: Small words that may stand inside a name.
+CONNECTORS = "af and de dem den der det for i in of og the und".split()
+_UPPER = "A-ZÆØÅÄÖÜ"
+_WORD = rf"[{_UPPER}][{_UPPER}a-zæøåäöüé-]*"
+#: One to six words, capitalised but for connectors after the first, and two to eight capitals in brackets.
+INTRODUCED = rf"({_WORD}(?:\s+(?:{_WORD}|{'|'.join(CONNECTORS)})){{0,5}})\s*\(([{_UPPER}]{{2,8}})\)"
+
+#: Terms of the domain, English and Danish.
+GLOSSARY = """
+anesthesia = anæstesi; anticoagulation therapy = antikoagulationsbehandling; atrial fibrillation = atrieflimren; bleeding = blødning
+creatinine = kreatinin; ct scan = ct-skanning; diabetes = sukkersyge; echocardiography = ekkokardiografi; emergency department = akutafdelingen
+general practitioner = almen læge; health clusters = sundhedsklynger; heart failure = hjertesvigt; hemoglobin = hæmoglobin
+intracranial hemorrhage = intrakraniel blødning; ischemic stroke = iskæmisk apopleksi; major bleeding = stor blødning; mortality = mortalitet
+mri scan = mr-skanning; national patient registry = landspatientregisteret; outpatient clinic = ambulatorium; patient education = patientuddannelse
+quality indicator = kvalitetsindikator; quality registry = kvalitetsdatabase; readmission = genindlæggelse; rehabilitation = genoptræning
+renal function = nyrefunktion; serious bleeding = alvorlig blødning; stroke = apopleksi; surgery = kirurgi
+thyroid stimulating hormone = thyreoideastimulerende hormon
+"""
+
+
+def glossary_terms(spark: SparkSession) -> DataFrame:
+    """``(group, term, slug, lang)`` of GLOSSARY, each slug by its own language's rules."""
+    rows = [(i, *pair.split(" = ")) for i, pair in enumerate(p.strip() for p in GLOSSARY.replace("\n", ";").split(";") if p.strip())]
+    t = spark.createDataFrame(rows, "group int, en string, da string")
+    return t.select("group", F.col("en").alias("term"), T.slugify("en").alias("slug"), F.lit("en").alias("lang")).union(t.select("group", "da", T.slugify("da", "da"), F.lit("da")))
 
 
 def abbreviation(c: DataFrame, corpus: DataFrame, lang: str) -> DataFrame:
     """``Full Name (ABBR)`` occurs in the corpus, both are candidates, and the letters of ABBR follow each other in the name; the name survives."""
     full, short = (F.regexp_extract_all("text", F.lit(INTRODUCED), F.lit(i)) for i in (1, 2))
     found = corpus.select(F.explode(F.arrays_zip(full.alias("full"), short.alias("short"))).alias("x")).select("x.full", "x.short").distinct()
-    # a sentence may lead into the name: every tail of the words is a possible name
-    words = F.split("full", r"\s+")
-    tails = found.select("short", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))).alias("name"))
-    ok = tails.where(T.letters_in_order("short", "name")).select(T.slugify("name", lang).alias("into"), T.slugify("short", lang).alias("from")).where("into <> `from`").distinct()
+    ok = found.where(T.letters_in_order("short", "full")).select(T.slugify("full", lang).alias("into"), T.slugify("short", lang).alias("from")).where("into <> `from` and length(`from`) >= 2").distinct()
     slugs = c.select("slug", "pos")
     m = ok.join(slugs.select(F.col("slug").alias("into"), F.col("pos").alias("p")), "into").join(slugs.select(F.col("slug").alias("from"), F.col("pos").alias("q")), "from")
     return m.select("from", "into", F.lit("abbreviation").alias("signal"), F.least("p", "q").alias("a_pos"), F.greatest("p", "q").alias("b_pos"))
@@ -98,8 +118,10 @@ def indicator_form(c: DataFrame) -> DataFrame:
 def subsequence(c: DataFrame) -> DataFrame:
     """All tokens of the shorter (two or more) occur in order in the longer, and no extra is a unit word or a number; the shorter survives."""
     tok = c.withColumn("t", F.split("slug", "-")).where(F.size("t") >= 2)
-    short = tok.select(F.col("t")[0].alias("key"), F.col("pos").alias("s_pos"), F.col("slug").alias("s_slug"), F.col("t").alias("s_t"))
-    long = tok.select(F.explode(F.array_distinct("t")).alias("key"), F.col("pos").alias("l_pos"), F.col("slug").alias("l_slug"), F.col("t").alias("l_t"))
+    # blocks are two tokens, the first two of the shorter in their order, as one common word ("hospital") makes large ones
+    short = tok.select(F.concat_ws("-", F.get("t", F.lit(0)), F.get("t", F.lit(1))).alias("key"), F.col("pos").alias("s_pos"), F.col("slug").alias("s_slug"), F.col("t").alias("s_t"))
+    two = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.concat_ws("-", x, y))))
+    long = tok.where(F.size("t") >= 3).select(F.explode(F.array_distinct(two)).alias("key"), F.col("pos").alias("l_pos"), F.col("slug").alias("l_slug"), F.col("t").alias("l_t"))
     p = short.join(long, "key").where((F.col("s_slug") != F.col("l_slug")) & (F.size("s_t") < F.size("l_t")))
     state = F.aggregate("l_t", F.struct(F.lit(0).alias("i"), F.array().cast("array<string>").alias("extra")), lambda s, x: F.when(F.get(F.col("s_t"), s["i"]) == x, F.struct((s["i"] + 1).alias("i"), s["extra"].alias("extra"))).otherwise(F.struct(s["i"].alias("i"), F.concat(s["extra"], F.array(x)).alias("extra"))))
     p = p.withColumn("r", state).where((F.col("r.i") == F.size("s_t")) & ~F.exists("r.extra", lambda x: x.isin(*UNIT_WORDS) | x.rlike(r"^\d+$")))
@@ -110,10 +132,15 @@ def initials(c: DataFrame, lang: str) -> DataFrame:
     """A token of three letters or more in common; every other token is an initial or begins with an initial of the other
     side, in any order, and at least one is spelled out; the slug of fewer tokens survives, the earlier at equal number."""
     tok = c.withColumn("t", F.split(T.transliteration_canonical("slug", lang), "-"))
-    k = tok.select(F.explode(F.array_distinct(F.filter("t", lambda x: F.length(x) >= 3))).alias("key"), "pos", "slug", "t")
-    a, b = (k.select("key", *[F.col(x).alias(f"{side}_{x}") for x in ("pos", "slug", "t")]) for side in "ab")
-    p = a.join(b, "key").where((F.col("a_pos") < F.col("b_pos")) & (F.col("a_slug") != F.col("b_slug"))).dropDuplicates(["a_pos", "b_pos"])
     initial = lambda u: u.rlike("^[a-z]$")
+    # blocks are a common token and the letter of an initial on one side, of a word on the other: only slugs with initials
+    # meet, and what shares a common word alone doesn't
+    k = tok.select(F.explode(F.array_distinct(F.filter("t", lambda x: F.length(x) >= 3))).alias("key"), "pos", "slug", "t")
+    side = lambda s, keep: k.select("key", F.explode(F.array_distinct(F.transform(F.filter("t", keep), lambda u: F.substring(u, 1, 1)))).alias("c"), *[F.col(x).alias(f"{s}_{x}") for x in ("pos", "slug", "t")])
+    met = side("x", initial).join(side("y", lambda u: ~initial(u)), ["key", "c"]).where((F.col("x_pos") != F.col("y_pos")) & (F.col("x_slug") != F.col("y_slug")))
+    first = F.col("x_pos") < F.col("y_pos")
+    at = lambda f, x: F.when(first == f, F.col(f"x_{x}")).otherwise(F.col(f"y_{x}"))
+    p = met.select(*[at(F.lit(s == "a"), x).alias(f"{s}_{x}") for s in "ab" for x in ("pos", "slug", "t")]).dropDuplicates(["a_pos", "b_pos"])
     rest = lambda x, y: F.filter(x, lambda u: (F.length(u) < 3) | ~F.array_contains(y, u))
     p = p.withColumn("a_r", rest("a_t", F.col("b_t"))).withColumn("b_r", rest("b_t", F.col("a_t")))
     p = p.withColumn("a_i", F.filter("a_r", initial)).withColumn("b_i", F.filter("b_r", initial))
@@ -125,13 +152,14 @@ def initials(c: DataFrame, lang: str) -> DataFrame:
 
 
 def glossary(c: DataFrame, terms: DataFrame, output: str) -> DataFrame:
-    """terms(group, term, slug, lang): different terms of one group; the one of the output language survives, else the longer slug, the earlier at equal length."""
+    """terms(group, term, slug, lang): different terms of one group. In two languages ``a`` survives if it is of the
+    output language, else ``b``; in one the longer slug, the earlier at equal length."""
     t = F.broadcast(terms)
     hit = c.join(t.withColumnRenamed("slug", "g_slug"), (F.col("slug") == F.col("g_slug")) | (F.lower(T.strip("title")) == F.lower("term")))
     first = hit.withColumn("rn", F.row_number().over(Window.partitionBy("pos").orderBy("group", "term"))).where("rn = 1")
     p = _pairs(first.select(F.col("group").alias("key"), "pos", "slug", "term", "lang")).where("a_term <> b_term")
     longer = F.when(F.length("b_slug") > F.length("a_slug"), F.col("b_slug")).otherwise(F.col("a_slug"))
-    into = F.when((F.col("a_lang") == output) & (F.col("b_lang") != output), F.col("a_slug")).when((F.col("b_lang") == output) & (F.col("a_lang") != output), F.col("b_slug")).otherwise(longer)
+    into = F.when(F.col("a_lang") == F.col("b_lang"), longer).when(F.col("a_lang") == output, F.col("a_slug")).otherwise(F.col("b_slug"))
     return _edges(p, into, "glossary")
 
 

@@ -16,9 +16,10 @@ STREAK, SHARE = 5, 0.10
 
 
 def write_verdicts(rendered: DataFrame, disk: DataFrame, recorded: DataFrame) -> DataFrame:
-    """``(path, verdict)``: converge where the disk has the rendered hash already, write where it is absent or as recorded, else conflict."""
+    """``(path, verdict)``: write where the page is absent, has no recorded hash or is as recorded; converge where the disk has the
+    rendered hash already; else conflict."""
     d, r = disk.select("path", F.col("hash").alias("d")), recorded.select("path", F.col("hash").alias("r"))
-    v = F.when(F.col("d") == F.col("hash"), "converge").when(F.col("d").isNull() | F.col("d").eqNullSafe(F.col("r")), "write").otherwise("conflict")
+    v = F.when(F.col("d").isNull() | F.col("r").isNull() | (F.col("d") == F.col("r")), "write").when(F.col("d") == F.col("hash"), "converge").otherwise("conflict")
     return rendered.join(d, "path", "left").join(r, "path", "left").select("path", v.alias("verdict"))
 
 
@@ -37,6 +38,11 @@ def upsert(state: DataFrame, new: DataFrame, present: DataFrame, key: str = "pat
     return keep_first(every, [key], [F.desc("__new"), F.desc(at)]).drop("__new")
 
 
+def known_types(before: DataFrame, now: DataFrame) -> DataFrame:
+    """One row (types): the sorted union of before(type) and now(type)."""
+    return before.select("type").union(now.select("type")).where("type is not null").agg(F.array_sort(F.collect_set("type")).alias("types"))
+
+
 def append_changes(log: DataFrame, new: DataFrame) -> DataFrame:
     return log.unionByName(new.join(log.select("type", "path"), ["type", "path"], "left_anti"), allowMissingColumns=True)
 
@@ -91,6 +97,63 @@ def run_metrics(pages: DataFrame, diff: DataFrame, claims: DataFrame, usage: Dat
     return by(pages, "type", "pagesByType").crossJoin(by(diff, "status", "entitiesByStatus")).crossJoin(by(claims, "type", "claimsByType")).crossJoin(usage)
 
 
+def page_types(pages: DataFrame) -> DataFrame:
+    """``(type, n)`` of pages(path, type) that say their type."""
+    return pages.where("type <> ''").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def written_by_type(written: DataFrame, documents: int | Column) -> DataFrame:
+    """``(type, n)`` of written(path): pages below topics/ are topics and all others entities, comparisons too, as the metrics
+    have always counted them; document pages are counted by ``documents`` where there are any."""
+    kind = F.when(F.substring_index("path", "/", 1) == "topics", "topic").otherwise("entity")
+    one = written.groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    docs = written.sparkSession.range(1).select(F.lit("document").alias("type"), (F.lit(documents) if isinstance(documents, int) else documents).cast("bigint").alias("n"))
+    return one.unionByName(docs.where("n > 0"))
+
+
+def entity_changes(before: DataFrame, after: DataFrame, titles: DataFrame, skipped: DataFrame) -> DataFrame:
+    """``(slug, title, folder, added, status)`` of memory(slug, folder, mentionCount): new entities, and those with more mentions
+    than before whose page was not skipped for a conflict."""
+    b = before.select("slug", F.col("mentionCount").alias("was"))
+    d = after.join(b, "slug", "left").join(skipped.select("slug").distinct().withColumn("__s", F.lit(True)), "slug", "left").join(titles.select("slug", "title"), "slug", "left")
+    status = F.when(F.col("was").isNull(), "new").when((F.col("mentionCount") > F.col("was")) & F.col("__s").isNull(), "updated")
+    return d.select("slug", F.coalesce("title", "slug").alias("title"), "folder", (F.col("mentionCount") - F.coalesce("was", F.lit(0))).alias("added"), status.alias("status")).where("status is not null")
+
+
+def conflict_counts(conflicts: DataFrame, since: str) -> DataFrame:
+    """One row (conflictsManualEdit, conflictsPreservation) of conflicts(timestamp, type) from an ISO time on."""
+    n = lambda c: F.count(F.when(c, 1))
+    edit = F.coalesce(F.col("type") == "manual-edit", F.lit(False))
+    return conflicts.where(F.col("timestamp") >= since).agg(n(edit).alias("conflictsManualEdit"), n(~edit).alias("conflictsPreservation"))
+
+
+def full_metrics(run: str, changes: DataFrame, counters: DataFrame, written: DataFrame, usage: DataFrame, conflicts: DataFrame, ledger: DataFrame, folders_before: DataFrame, folders_after: DataFrame, issues: DataFrame, repairs: int = 0, fallbacks: int = 0, transport: int = 0, wall_ms: int = 0) -> DataFrame:
+    """The run as one row. changes as of ``entity_changes``, counters as of ``ingest.extraction_counters``, written as of
+    ``written_by_type``, usage as of ``usage_since``, ledger(source, status, chunks) with chunks of skipped sources,
+    issues as of ``links.validation_summary``. Each part is one row, so that the cross joins are of single rows.
+
+    No chunk counts as failed: a failed one ends the run.
+    """
+    n = lambda c: F.count(F.when(c, 1))
+    as_map = lambda df, k: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "n"))))).toDF("m")
+    parts = [
+        changes.agg(n(F.col("status") == "new").alias("entitiesNew"), n(F.col("status") == "updated").alias("entitiesUpdated")),
+        counters.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"{c}Extracted") for c in ("relationships", "claims")]),
+        as_map(counters.select(F.explode("claimsByType").alias("type", "c")).groupBy("type").agg(F.sum("c").cast("bigint").alias("n")), "type").withColumnRenamed("m", "claimsByType"),
+        as_map(written, "type").withColumnRenamed("m", "pagesByType"),
+        usage.select(F.col("cost").alias("totalCost"), (F.col("inputTokens") + F.col("outputTokens")).alias("totalTokens")),
+        conflicts,
+        ledger.agg(n(F.col("status") == "new").alias("newPdfs"), F.coalesce(F.sum(F.when(F.col("status").isin("new", "changed"), F.col("chunks"))), F.lit(0)).alias("chunksProcessed"), F.coalesce(F.sum(F.when(F.col("status") == "unchanged", F.col("chunks"))), F.lit(0)).alias("chunksSkipped")),
+        folders_after.join(folders_before, "folder", "left_anti").agg(F.count(F.lit(1)).alias("foldersCreated")),
+        issues.agg(*[F.coalesce(F.sum(F.when(F.col("check") == c, F.col("n"))), F.lit(0)).alias(a) for c, a in (("broken links", "brokenLinks"), ("orphans", "orphanedPages"))]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)
+    fixed = {"run": run, "chunksFailed": 0, "feedbackRepairs": repairs, "curationFallbacks": fallbacks, "transportFailures": transport, "wallClockMs": wall_ms}
+    return out.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
 def ingest_summary(report: DataFrame) -> DataFrame:
     """One line of report(finalMode, issues)."""
     n = lambda m: F.count(F.when(F.col("finalMode") == m, 1))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import shutil
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,8 +17,6 @@ def write_pages(pages: DataFrame, folder: str) -> None:
 def write_markdown(pages: DataFrame, folder: str) -> None:
     """pages(path, page) as files: each executor writes its own rows; for the folders that readers of Markdown want."""
     def save(rows) -> None:
-        import os
-
         for r in rows:
             to = os.path.join(folder, r["path"])
             os.makedirs(os.path.dirname(to), exist_ok=True)
@@ -35,5 +36,43 @@ def append_rows(rows: DataFrame, path: str) -> None:
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """A ledger is rewritten beside its old version and read from the newest: an aborted write leaves the old one."""
-    rows.write.mode("overwrite").parquet(path)
+    """A new version of a ledger, written beside the old one and read by ``current_table`` from the moment it is whole.
+
+    The version's number is one more than the last whole one's, so ``rows`` may read the ledger itself. An aborted write leaves
+    a folder without the mark of success, which no reader takes; the next write goes over it. The old version stays until
+    the next one but one, for who is still reading it.
+    """
+    spark = rows.sparkSession
+    last = _last_version(spark, path)
+    rows.write.mode("overwrite").parquet(f"{path}/v{last + 1:010d}")
+    if last > 1:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{last - 1:010d}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def current_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The last whole version of a ledger, or an empty table where there is none."""
+    last = _last_version(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v{last:010d}") if last else spark.createDataFrame([], schema)
+
+
+def _last_version(spark: SparkSession, path: str) -> int:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return max((int(s.getPath().getParent().getName()[1:]) for s in found or []), default=0)
+
+
+def add_source(path: str, raw: str) -> str:
+    """Copy a PDF, given as pasted, into the folder of raw files; its name there. What is no PDF file is refused."""
+    at = path.strip()
+    while len(at) > 1 and at[0] == at[-1] and at[0] in "\"'":
+        at = at[1:-1].strip()
+    if not at.lower().endswith(".pdf"):
+        raise ValueError(f"no PDF: {at}")
+    if not os.path.isfile(at):
+        raise FileNotFoundError(at)
+    os.makedirs(raw, exist_ok=True)
+    name = os.path.basename(at)
+    shutil.copyfile(at, os.path.join(raw, name + ".tmp"))
+    os.replace(os.path.join(raw, name + ".tmp"), os.path.join(raw, name))
+    return name

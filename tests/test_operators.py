@@ -63,7 +63,7 @@ def test_alias_and_abbreviation(spark):
 
 def test_abbreviation_over_any_blanks(spark):
     c = cands(spark, "nhr", "national-health-register")
-    for text in ("the National\nHealth  Register (NHR)", "National Health Register(NHR)", "A National Health Register\n(NHR)"):
+    for text in ("the National\nHealth  Register (NHR)", "Fra National Health\tRegister(NHR)".replace("Fra", "fra"), "and the National Health Register\n(NHR)"):
         assert pairs(resolve.detect(c, "da", spark.createDataFrame([(text,)], "text string"))[0]) == [("nhr", "national-health-register", "abbreviation", "proposed")], text
 
 
@@ -167,7 +167,7 @@ def test_citations_and_page(spark):
     ev = spark.createDataFrame([("p", "b.pdf", "1", 1, 1, 0), ("p", "a.pdf", "2", 0, 2, 0), ("p", "a.pdf", "2", 3, 1, 0)], "page_id string, file string, pages string, kind int, chunk_ord int, pos int")
     n = aggregate.number_citations(ev)
     assert {(r.file, r.n) for r in n.collect()} == {("a.pdf", 1), ("b.pdf", 2)}
-    assert render.sources_section(n).collect()[0].sources == "[^src1]: a.pdf, p. 2\n[^src2]: b.pdf, p. 1"
+    assert render.sources_section(n).collect()[0].sources == "[^src1]: a.pdf, pages 2\n[^src2]: b.pdf, pages 1"
 
 
 def test_links(spark):
@@ -292,7 +292,9 @@ def test_seams(spark):
 
 
 def test_template():
-    assert T.language_directive("en", "en") == "" and "da" in T.language_directive("da", "en")
+    assert T.language_directive("en", "en") == "" and "Danish" in T.language_directive("da", "en", "curation")
+    prompt = "a\n=== LANGUAGE ===\n{languageDirective}\n\nb"
+    assert T.apply_directive(prompt, "") == "a\nb" and T.apply_directive(prompt, "x") == "a\n=== LANGUAGE ===\nx\n\nb"
 
 
 def test_rounds_compose(spark):
