@@ -86,6 +86,12 @@ def dedupe(items: DataFrame, kind: str) -> DataFrame:
     return keep_first(items, KEYS[kind], ORD)
 
 
+def topic_heads(claims: DataFrame) -> DataFrame:
+    """``(slug, title, n_claims, first_at)`` without the claims themselves: what a roll-up over topics of any size needs."""
+    g = claims.groupBy(F.col("type").alias("slug")).agg(F.count(F.lit(1)).alias("n_claims"), F.min(F.struct(*ORD)).alias("first_at"))
+    return g.withColumn("title", T.title_case("slug"))
+
+
 def with_evidence(known: DataFrame, **lists: DataFrame) -> DataFrame:
     """``known`` with a column a kind: its de-duplicated items(slug, chunk_ord, pos, ...) as an array in order, empty where there
     are none. One entity's lists are one page's content and are put together only here; everything before works on rows."""
@@ -138,7 +144,7 @@ def candidates(known: DataFrame, items: DataFrame, disk: DataFrame, text: str, m
     first = live.schema["pos"].dataType["c"].dataType
     titled = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(T.title_case("slug"))
     gone = disk.join(known.select("slug"), "slug", "left_anti")
-    gone = gone.select(F.struct(F.lit(1).alias("k"), F.lit(None).cast(first).alias("c"), F.col("slug").alias("s")).alias("pos"), "slug", titled.alias("title"), "folder", F.col("n").cast("bigint").alias("n"), F.transform(F.slice(F.coalesce("samples", none), 1, most), T.truncate_sample).alias("samples"), F.coalesce("aliases", none).alias("aliases"), F.lit(True).alias("on_disk"))
+    gone = gone.select(F.struct(F.lit(1).alias("k"), F.lit(None).cast(first).alias("c"), F.col("slug").alias("s")).alias("pos"), "slug", titled.alias("title"), "folder", F.col("n").cast("bigint").alias("n"), F.transform(F.slice(F.coalesce("samples", none), 1, most), lambda x: T.truncate_sample(x)).alias("samples"), F.coalesce("aliases", none).alias("aliases"), F.lit(True).alias("on_disk"))
     return live.unionByName(gone)
 
 
@@ -328,8 +334,9 @@ def frontmatter_sources_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select user_id as slug, arg_min(event_type, (ts, event_id)) as type, arg_min(value, (ts, event_id)) as first_value, count(*)::bigint as n_obs from events group by 1""",
 )
 def entity_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.struct("ts", "event_id")
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("slug")).agg(F.min_by("event_type", at).alias("type"), F.min_by("value", at).alias("first_value"), F.count(F.lit(1)).alias("n_obs"))
+    none = F.lit("")
+    obs = table(spark, sf_dir, "events").select(F.col("user_id").alias("slug"), none.alias("name"), F.col("event_type").alias("type"), none.alias("folder"), F.col("value").alias("significance"), F.col("ts").alias("chunk_ord"), F.col("event_id").alias("pos"))
+    return entities(obs, spark.createDataFrame([], "slug bigint, folder string")).select("slug", "type", F.col("significance").alias("first_value"), "n_obs")
 
 
 @query(
@@ -346,7 +353,8 @@ def related_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("topic_rollup", "select event_type as slug, upper(event_type[1]) || event_type[2:] as title, count(*)::bigint as n_claims, min(event_id) as first_claim from events group by event_type")
 def topic_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("slug")).agg(F.count(F.lit(1)).alias("n_claims"), F.min("event_id").alias("first_claim")).withColumn("title", T.title_case("slug"))
+    c = table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.lit(0).alias("chunk_ord"), F.col("event_id").alias("pos"))
+    return topic_heads(c).select("slug", "title", "n_claims", F.col("first_at.pos").alias("first_claim"))
 
 
 @query(
@@ -363,5 +371,7 @@ def first_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bridge_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers in a customer's orders that are also part numbers, as the entities shared by claims and tables."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    shared = li.join(p.select(F.col("p_partkey").alias("l_suppkey")), "l_suppkey", "left_semi").select("l_orderkey", "l_suppkey")
-    return o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(shared, "l_orderkey").groupBy(F.col("o_custkey").alias("key")).agg(F.countDistinct("l_suppkey").alias("n_shared"))
+    none = F.lit("")
+    mine = o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("key")).join(li.select("l_orderkey", "l_suppkey"), "l_orderkey").groupBy("key").agg(F.collect_set("l_suppkey").alias("entities"))
+    claims = p.select(none.alias("text"), none.alias("type"), none.alias("file"), none.alias("pages"), F.lit(0).alias("chunk_ord"), F.lit(0).alias("pos"), F.array("p_partkey").alias("entities"))
+    return bridge(mine, claims).select("key", F.size("shared").cast("bigint").alias("n_shared"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import text as T
 from folioforge.operators.registry import query
 from folioforge.sources.tables import table
 
@@ -30,4 +31,4 @@ def doc_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("doc_fingerprint", "select doc_id, sha256(text) as digest from documents")
 def doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.sha256("text").alias("digest"))

@@ -149,11 +149,11 @@ def table_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_tables(_order_lines(spark, sf_dir))
 
 
-@query("empty_page_warnings", "select 'conv ' || conv_id as source, turn + 1 as page_no, 'Page ' || (turn + 1) || ' extracted to empty text' as warning from conversations where trim(regexp_replace(coalesce(text, ''), '^Y.*', '', 's'), ' ' || chr(10)) = ''")
+@query("empty_page_warnings", "select 'conv ' || conv_id as source, turn + 1 as page_no, 'Page ' || (turn + 1) || ' extracted to empty text' as warning from conversations where starts_with(text, 'L')")
 def empty_page_warnings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that start with Y play the empty ones, as the table has none."""
+    """Pages that start with L play the empty ones, as the table has none."""
     c = table(spark, sf_dir, "conversations")
-    return empty_page_warnings(c.select(F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("source"), (F.col("turn") + 1).alias("page_no"), F.when(~F.col("text").startswith("Y"), F.col("text")).alias("text")))
+    return empty_page_warnings(c.select(F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("source"), (F.col("turn") + 1).alias("page_no"), F.when(~F.col("text").startswith("L"), F.col("text")).alias("text")))
 
 
 @query("counters_by_type", "select event_type, count(*)::bigint as n, count(distinct user_id)::bigint as users from events group by event_type")

@@ -134,12 +134,12 @@ def repair_report(pages: DataFrame, known: DataFrame, slugs: DataFrame, aliases:
 
 
 def canonical_links(pages: DataFrame, known: DataFrame, titles: DataFrame) -> DataFrame:
-    """pages(path, body) of which every link is a known key (kept), a unique title (made a link to its key) or plain text."""
+    """pages(path, body) of which every link is a known key (kept), a unique title (made a link to its key, shown as before) or plain text."""
     one = titles.groupBy(F.lower("title").alias("t")).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).where("n = 1")
     links = page_links(pages).select("path", "target").distinct()
     by = links.join(known.select(F.col("key").alias("target"), F.lit(True).alias("ok")), "target", "left").withColumn("t", F.lower("target")).join(one, "t", "left")
     maps = by.where("ok is null").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("target", F.coalesce("key", F.lit("")).alias("to")))).alias("m"))
-    body = T.rewrite_links("body", F.col("m"))
+    body = T.rewrite_links("body", F.col("m"), F.transform_values("m", lambda k, _: k))
     plain = F.regexp_replace(F.regexp_replace(body, r"\[\[\|([^\]]*)\]\]", "$1"), r"\[\[\]\]", "")
     return pages.join(maps, "path", "left").select("path", F.when(F.col("m").isNull(), F.col("body")).otherwise(plain).alias("body"))
 

@@ -86,5 +86,6 @@ def preservation_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def first_marker_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of each document with an address on it."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text")).where(F.contains(F.col("text"), F.lit("@")))
-    return keep_first(lines, ["doc_id"], ["i"]).select("doc_id", (F.col("i") + 1).cast("int").alias("line"), "text")
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.replace("text", F.lit("@"), F.lit("@[^src0]")).alias("body"))
+    off = off_map_citations(pages, spark.createDataFrame([], "path bigint, key string"))
+    return off.select(F.col("path").alias("doc_id"), F.col("line").cast("int").alias("line"), F.replace("text", F.lit("@[^src0]"), F.lit("@")).alias("text"))

@@ -57,9 +57,11 @@ def bucket_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.bucket_stem(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_size").cast("string"))).alias("stem"))
 
 
-@query("iso_timestamps", "select event_id, true as valid, false as short_valid from events")
+@query("iso_timestamps", "select event_id, event_type <> 'error' as valid, false as short_valid from events")
 def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """The moments of errors are in a month 13."""
+    form = lambda month: F.date_format("ts", f"yyyy-{month}-dd'T'HH:mm:ss.SSS'Z'")
+    iso = F.when(F.col("event_type") == "error", form("'13'")).otherwise(form("MM"))
     return table(spark, sf_dir, "events").select("event_id", T.is_iso_timestamp(iso).alias("valid"), T.is_iso_timestamp(F.substring(iso, 1, 19)).alias("short_valid"))
 
 

@@ -117,7 +117,7 @@ def entity_changes(before: DataFrame, after: DataFrame, titles: DataFrame, skipp
     b = before.select("slug", F.col("mentionCount").alias("was"))
     d = after.join(b, "slug", "left").join(skipped.select("slug").distinct().withColumn("__s", F.lit(True)), "slug", "left").join(titles.select("slug", "title"), "slug", "left")
     status = F.when(F.col("was").isNull(), "new").when((F.col("mentionCount") > F.col("was")) & F.col("__s").isNull(), "updated")
-    return d.select("slug", F.coalesce("title", "slug").alias("title"), "folder", (F.col("mentionCount") - F.coalesce("was", F.lit(0))).alias("added"), status.alias("status")).where("status is not null")
+    return d.select("slug", F.coalesce("title", F.col("slug").cast("string")).alias("title"), "folder", (F.col("mentionCount") - F.coalesce("was", F.lit(0))).alias("added"), status.alias("status")).where("status is not null")
 
 
 def conflict_counts(conflicts: DataFrame, since: str) -> DataFrame:
@@ -219,5 +219,6 @@ def synthesis_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as last_order, count(*)::bigint as n from orders group by 1""",
 )
 def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"), F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), "o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("synthesizedAt"))
+    last = upsert(o.limit(0), o, o.select("path")).select(F.col("path").alias("o_custkey"), F.col("o_orderkey").alias("last_order"))
+    return last.join(o.groupBy(F.col("path").alias("o_custkey")).agg(F.count(F.lit(1)).alias("n")), "o_custkey")

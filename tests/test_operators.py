@@ -237,7 +237,7 @@ def test_render_and_splice(spark):
 
 def test_state(spark):
     h = lambda *x: spark.createDataFrame(x, "path string, hash string")
-    got = {r.path: r.verdict for r in state.write_verdicts(h(("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")), h(("a", "1"), ("b", "x"), ("c", "y")), h(("b", "x"), ("c", "z"))).collect()}
+    got = {r.path: r.verdict for r in state.write_verdicts(h(("a", "1"), ("b", "2"), ("c", "3"), ("d", "4")), h(("a", "1"), ("b", "x"), ("c", "y")), h(("a", "0"), ("b", "x"), ("c", "z"))).collect()}
     assert got == {"a": "converge", "b": "write", "c": "conflict", "d": "write"}
     kind = "concern string, action string, `from` array<string>, `into` string, signal string, decidedAt string, runId string"
     ledger = spark.createDataFrame([("e", "merge", ["b", "a"], "c", "model", "1", "r")], kind)
