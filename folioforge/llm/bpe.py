@@ -358,7 +358,9 @@ def encode(docs: DataFrame, path: str = RANKS, dictionary: int = DICTIONARY) ->
     """
     spark = docs.sparkSession
     arrow_rows(spark, 1000)
-    spark.conf.set("spark.sql.maxPlanStringLength", "100000")  # the literals would fill the driver's records of plans
+    # the literals would be printed in full for each node of each plan, and the driver keeps these records
+    spark.conf.set("spark.sql.maxPlanStringLength", "100000")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "0")
     texts = docs.select("doc_id", "text")
     words = _frequent(texts.select("text"), dictionary)
     shared = spark.sparkContext.broadcast(_folded(words, path))
