@@ -444,12 +444,13 @@ def curation_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select 'drop', 's-' || s_suppkey, null, 'model', null from supplier union all select 'cluster', 'p-' || p_size || ' ' || 'p-x', 'p-' || p_partkey, 'region-form', 5 from part""",
 )
 def curation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts lead clusters, in names of their own until the records are made: a size is a member even where it is the part's number too."""
     c = table(spark, sf_dir, "customer").select(say("c-", F.col("c_custkey")).alias("old"), say("n-", F.col("c_nationkey")).alias("new"), "c_acctbal")
     pairs = c.where("c_acctbal > 0").select(F.col("old").alias("from"), F.col("new").alias("into"), F.lit("alias").alias("signal"))
-    lead = say("p-", F.col("p_partkey"))
+    lead = say("part-", F.col("p_partkey"))
     clusters = table(spark, sf_dir, "part").select(F.array(F.lit("p-x"), lead, say("p-", F.col("p_size"), "")).alias("members"), lead.alias("into"), F.lit("region-form").alias("signal"), F.lit(5).alias("class"))
     r = C.decision_records(c.select("old", "new"), pairs, "entities", "run", "2024", table(spark, sf_dir, "supplier").select(say("s-", F.col("s_suppkey")).alias("slug")), clusters)
-    return r.select("action", F.array_join("from", " ").alias("from"), "into", "signal", "class")
+    return r.select("action", F.array_join("from", " ").alias("from"), F.regexp_replace("into", "^part-", "p-").alias("into"), "signal", "class")
 
 
 _GONE = "with p as (select p_type || '/' || p_brand || '/' || p_partkey || '.md' as path, p_partkey as slug, p_type, p_brand from part), g as (select * from p where slug in (select c_custkey from customer where c_acctbal > 0) or slug in (select l_suppkey from lineitem))"

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import aggregate, curate, ingest, links, render, resolve, state
+from folioforge.operators.catalog import ORACLES, QUERIES
 from folioforge.plans import seams
 from folioforge.sources import sinks
+from tests.oracle import check
 from tests.test_operators import cands, pairs, rows
 
 E = "`from` string, `into` string"
@@ -106,6 +108,13 @@ def test_records_and_vetoes(spark):
     assert got == [("cluster", "x z", "region-form"), ("drop", "d", "model"), ("merge", "a", "alias"), ("merge", "c", "model")]
 
 
+def test_records_of_a_part_whose_size_is_its_number(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 3.0), (2, 2, -1.0)], "c_custkey bigint, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1,)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(7, 7), (8, 7), (9, 23)], "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    check(QUERIES["curation_records"](spark, str(tmp_path)), ORACLES["curation_records"], str(tmp_path))
+
+
 def test_ledger_versions(spark, tmp_path):
     path, schema = f"file://{tmp_path}/ledger", "k int"
     assert sinks.current_table(spark, path, schema).count() == 0
