@@ -2,8 +2,9 @@
 
 The ranked merges are folded over the byte array of a word: each step looks up the rank of every neighbouring pair in a
 literal map, and joins the first pair of least rank. As words repeat, the fold runs once for each distinct word that
-occurs more than once, and its result is looked up for every occurrence; a word that occurs once (or is beyond the
-bounded dictionary) is folded where it stands. Nothing but word counts is shuffled.
+occurs more than once, and its result is looked up for every occurrence. The words that occur once (or are beyond the
+bounded dictionary) are merged where they stand, all of a piece of text at once, step for step as in the fold and by the
+same pairs. Nothing but word counts is shuffled.
 
 Texts are cut into words a batch at a time, by the classes of all its characters at once. The dictionary goes to the
 workers as 128-bit fingerprints in order, with the ids; a worker takes it over once, not once a batch.
@@ -32,7 +33,7 @@ from folioforge.llm.textblock import U, Words, buffers, list_array, pieces
 from folioforge.plans.lineage import release, shared_table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Most frequent words whose ids are kept on the driver and broadcast (some 60 MB); all other words are folded in place.
+#: Most frequent words whose ids are kept on the driver and broadcast (some 60 MB); all other words are merged in place.
 DICTIONARY = 2_000_000
 #: The fold copies a word's ids once a merge; longer words are merged with a heap, in n log n.
 FOLD_BYTES = 64
@@ -132,6 +133,63 @@ def fold(word: Column, path: str = RANKS) -> Column:
     return F.aggregate(steps, start, step, finish)
 
 
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places from each start on, ``n`` of them, one span after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Merges:
+    """The pairs of ``fold`` as arrays, for ``merge_words``."""
+
+    NONE = 1 << 16
+
+    def __init__(self, path: str):
+        ranks = load_ranks(path)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.shift, self.slot = (np.array(x, np.int64) for x in _pairs(path))
+
+    def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merged ids; NONE where the pair has none."""
+        return np.minimum(self.slot[self.shift[a] + b] ^ (a << 16), self.NONE)
+
+
+def merge_words(data: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of many words, and how many each has. ``data`` has their bytes one after the other, at least one each.
+
+    Each step joins the first pair of least rank of every word that still has one, as ``fold`` does word by word; as many
+    steps as the longest word has bytes at most.
+    """
+    base = np.cumsum(lengths) - lengths
+    out, size = np.zeros(len(data), np.int32), np.zeros(len(lengths), np.int64)
+    word, n, start, ids = np.arange(len(lengths)), lengths.astype(np.int64), base.astype(np.int64), merges.byte[data]
+    rank = np.full(len(ids), merges.NONE, np.int64)
+    rank[:-1] = merges.ranked(ids[:-1], ids[1:])
+    rank[start + n - 1] = merges.NONE  # the last of a word has no neighbour
+    while len(word):
+        low = np.minimum.reduceat(rank, start)
+        going = low < merges.NONE
+        if not going.all():
+            stays, m = np.repeat(going, n), n[~going]
+            out[_spans(base[word[~going]], m)] = ids[~stays]
+            size[word[~going]] = m
+            ids, rank, word, low, n = ids[stays], rank[stays], word[going], low[going], n[going]
+            start = np.cumsum(n) - n
+            if not len(word):
+                break
+        hits = np.flatnonzero(rank == np.repeat(low, n))
+        at = hits[np.searchsorted(hits, start)]
+        ids[at], rank[at] = low, merges.NONE
+        more = at + 2 < start + n
+        rank[at[more]] = merges.ranked(low[more], ids[at[more] + 2])
+        more = at > start
+        rank[at[more] - 1] = merges.ranked(ids[at[more] - 1], low[more])
+        stays = np.ones(len(ids), bool)
+        stays[at + 1] = False
+        ids, rank, n = ids[stays], rank[stays], n - 1
+        start = start - np.arange(len(word))
+    return out[np.arange(len(out)) - np.repeat(base, lengths) < np.repeat(size, lengths)], size
+
+
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a word of any length, by a heap of pairs over a linked list."""
     n = len(word)
@@ -286,43 +344,32 @@ class Dictionary:
 
 
 def _lookup(shared, path: str):
-    """Batches of (doc_id, text) to (doc_id, none: text is null, known: runs of ids between unknown words, unknown words)."""
+    """Batches of (doc_id, text) to (doc_id, none: text is null, ids)."""
 
     def run(batches):
-        book: Dictionary = shared.value
+        book, merges = shared.value
         book.prepare()
         for batch in pieces(batches, most=PIECE):
             w = cut(batch.column("text"))
             first = w.first.astype(np.int64)
             at = book.find(w.hashes(), w.hashes(1))
-            known = at >= 0
+            known, size = at >= 0, (w.end - w.start).astype(np.int64)
+            short, long = np.flatnonzero(~known & (size <= FOLD_BYTES)), np.flatnonzero(~known & (size > FOLD_BYTES))
             n = np.zeros(len(at), np.int64)
             n[known] = book.lengths[at[known]]
-            fresh = np.flatnonzero(~known)
-            extra = {}
-            long = fresh[(w.end - w.start)[fresh] > FOLD_BYTES]
-            if len(long):
-                ranks = load_ranks(path)
-                for i in long.tolist():
-                    extra[i] = merge_long(w.data[w.start[i] : w.end[i]].tobytes(), ranks)
-                    n[i] = len(extra[i])
-                fresh = np.setdiff1d(fresh, long, assume_unique=True)
+            merged, n[short] = merge_words(w.data[_spans(w.start[short].astype(np.int64), size[short])], size[short], merges)
+            extra = []
+            for i in long.tolist():
+                extra.append(merge_long(w.data[w.start[i] : w.end[i]].tobytes(), load_ranks(path)))
+                n[i] = len(extra[-1])
             total = np.concatenate([[0], np.cumsum(n)])
             out = np.zeros(total[-1], np.int32)
-            size = n[known]
-            to = np.repeat(total[:-1][known], size)
-            inner = np.arange(len(to)) - np.repeat(np.cumsum(size) - size, size)
-            out[to + inner] = book.ids[np.repeat(book.first[at[known]], size) + inner]
-            for i, found in extra.items():
+            out[_spans(total[:-1][known], n[known])] = book.ids[_spans(book.first[at[known]], n[known])]
+            out[_spans(total[short], n[short])] = merged
+            for i, found in zip(long.tolist(), extra, strict=True):
                 out[total[i] : total[i + 1]] = found
-            order = np.concatenate([2 * fresh, 2 * first[1:] - 1])
-            ends = np.concatenate([total[fresh], total[first[1:]]])[np.argsort(order, kind="stable")]
-            unknown = np.diff(np.searchsorted(fresh, first))
-            runs = list_array(out, np.diff(np.concatenate([[0], ends])), pa.int32())
-            offsets = np.concatenate([[0], np.cumsum(unknown + 1)]).astype(np.int32)
-            missing = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(unknown)]).astype(np.int32)), _strings(w, fresh).cast(pa.string()))
-            none = pc.is_null(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), none, pa.ListArray.from_arrays(pa.array(offsets), runs), missing], ["doc_id", "none", "known", "unknown"])
+            ids = list_array(out, np.diff(total[first]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.is_null(batch.column("text")), ids], ["doc_id", "none", "ids"])
 
     return run
 
@@ -363,14 +410,11 @@ def encode(docs: DataFrame, path: str = RANKS, dictionary: int = DICTIONARY) ->
     spark.conf.set("spark.sql.debug.maxToStringFields", "0")
     texts = docs.select("doc_id", "text")
     words = _frequent(texts.select("text"), dictionary)
-    shared = spark.sparkContext.broadcast(_folded(words, path))
+    shared = spark.sparkContext.broadcast((_folded(words, path), Merges(path)))
     release(words)
     kind = dict(docs.dtypes)["doc_id"]
-    looked = texts.mapInArrow(_lookup(shared, path), f"doc_id {kind}, none boolean, known array<array<int>>, unknown array<string>")
-    # each run of known ids, then the unknown word after it (none after the last run)
-    placed = F.zip_with("known", F.transform("unknown", lambda x: fold(x, path)), lambda a, b: F.array(a, F.coalesce(b, F.array().cast("array<int>"))))
-    ids = F.when(F.size("unknown") == 0, F.col("known")[0]).otherwise(F.flatten(F.flatten(placed)))
-    out = looked.select("doc_id", F.when(~F.col("none"), ids).alias("token_ids"))
+    looked = texts.mapInArrow(_lookup(shared, path), f"doc_id {kind}, none boolean, ids array<int>")
+    out = looked.select("doc_id", F.when(~F.col("none"), F.col("ids")).alias("token_ids"))
     return out.select("doc_id", "token_ids", F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).alias("n_tokens"))
 
 

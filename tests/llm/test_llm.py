@@ -89,6 +89,17 @@ def test_long_words_merge_alike():
         assert bpe.merge_long(w.encode(), bpe.load_ranks(bpe.RANKS)) == enc.encode_ordinary(w)
 
 
+def test_rare_words_merge_alike_and_are_not_folded_one_by_one(spark, docs_of):
+    rng, ranks = random.Random(4), bpe.load_ranks(bpe.RANKS)
+    words = ["".join(rng.choice("abcdehinorst é日") for _ in range(rng.randint(1, 20))).encode() for _ in range(3000)] + [b"a" * k for k in range(1, 65)] + [b"\xff", b" " * 64]
+    ids, n = bpe.merge_words(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words]), bpe.Merges(bpe.RANKS))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [bpe.merge_long(w, ranks) for w in words]
+    docs = docs_of(["once " + "Zq" * 40, None, "", "twice twice"])
+    out = bpe.encode(docs, dictionary=1)
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r.token_ids for r in out.collect()} == {r.doc_id: r.token_ids for r in bpe.encode(docs).collect()}
+
+
 # ---- 2
 
 def test_quality(docs_of):
