@@ -37,8 +37,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 DICTIONARY = 2_000_000
 #: The fold copies a word's ids once a merge; longer words are merged with a heap, in n log n.
 FOLD_BYTES = 64
-#: Bytes of text that are cut at a time.
-PIECE = 2 << 20
+#: Bytes of text that are cut at a time, to count words and to look them up; a worker holds some 100 bytes for each.
+COUNTED, PIECE = 1 << 20, 1 << 19
 
 @functools.lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -288,7 +288,7 @@ def _strings(w: Words, chosen: np.ndarray) -> pa.Array:
 
 def _counted(batches):
     """The distinct words of each piece of a batch that are short enough to fold, with how often they occur."""
-    for batch in pieces(batches, most=PIECE):
+    for batch in pieces(batches, most=COUNTED):
         w = cut(batch.column("text"))
         short = np.flatnonzero(w.end - w.start <= FOLD_BYTES)
         _, at, n = np.unique(w.hashes()[short], return_index=True, return_counts=True)
