@@ -428,9 +428,10 @@ def extraction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = li.groupBy("l_orderkey").agg(F.to_json(F.struct(pick("R", ent).alias("entities"), pick("A", rel).alias("relationships"), pick("N", claim).alias("claims"), F.lit("ctx").alias("context"))).alias("j"))
     chunk = F.concat(F.lit("o-"), F.col("l_orderkey").cast("string"))
     parsed = extract.normalise(extract.parse_replies(rec.select(chunk.alias("chunk_id"), F.concat(F.lit("```json\n"), "j", F.lit("\n```")).alias("reply"))))
-    issues = extract.schema_issues(parsed, parsed.select("chunk_id", F.lit("1-5").alias("pages"))).where("issue = 'page outside the chunk'").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("outside"))
-    n = ingest.extraction_counters(parsed).join(parsed.select("chunk_id", F.array_min(F.transform("entities", lambda e: e["slug"])).alias("first_slug")), "chunk_id").join(issues, "chunk_id", "left")
-    return n.select("chunk_id", "entities", "relationships", "claims", F.coalesce(F.try_element_at("claimsByType", F.lit("status-f")), F.lit(0)).alias("status_f"), F.coalesce("first_slug", F.lit("")).alias("first_slug"), F.coalesce("outside", F.lit(0)).alias("outside"))
+    outside = F.size(F.filter(extract.issues_of(parsed, F.lit("1-5")), lambda x: x["issue"] == "page outside the chunk")).cast("bigint")
+    checked = parsed.withColumn("first_slug", F.array_min(F.transform("entities", lambda e: e["slug"]))).withColumn("outside", outside)
+    n = ingest.extraction_counters(checked, "first_slug", "outside")
+    return n.select("chunk_id", "entities", "relationships", "claims", F.coalesce(F.try_element_at("claimsByType", F.lit("status-f")), F.lit(0)).alias("status_f"), F.coalesce("first_slug", F.lit("")).alias("first_slug"), "outside")
 
 
 # ---- preservation on the documents and on tables of orders

@@ -50,13 +50,13 @@ def language_warning(chosen: str, last: str | None, has_extractions: bool) -> st
     return None
 
 
-def extraction_counters(records: DataFrame) -> DataFrame:
-    """``(chunk_id, entities, relationships, claims, claimsByType)`` of extraction records: sizes, and claims by their type."""
+def extraction_counters(records: DataFrame, *more: str) -> DataFrame:
+    """``(chunk_id, entities, relationships, claims, claimsByType)`` of extraction records: sizes, and claims by their type; and the columns ``more``."""
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(c)  # noqa: E731  (the size of null is null)
     types = F.array_sort(F.array_distinct(F.filter(F.transform("claims", lambda c: c["type"]), lambda t: t.isNotNull())))
     by = F.map_from_entries(F.transform(types, lambda t: F.struct(t, F.size(F.filter("claims", lambda c: c["type"] == t)).cast("bigint"))))
     counted = records.withColumn("claimsByType", F.coalesce(by, F.create_map().cast("map<string,bigint>")))
-    return counted.select("chunk_id", *map(size, ("entities", "relationships", "claims")), "claimsByType")
+    return counted.select("chunk_id", *map(size, ("entities", "relationships", "claims")), "claimsByType", *more)
 
 
 def table_lines(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from folioforge.operators import aggregate, curate, ingest, links, render, resol
 from folioforge.operators.catalog import ORACLES, QUERIES
 from folioforge.plans import seams
 from folioforge.sources import sinks
+from tests.conftest import DATA
 from tests.oracle import check
 from tests.test_operators import cands, pairs, rows
 
@@ -208,3 +209,12 @@ def test_related_of_composites(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "subject string, object string")
     claims = spark.createDataFrame([(["a", "d"],)], "entities array<string>")
     assert rows(aggregate.related_composite(m, edges, claims)) == [("i", ["c", "d"])]
+
+
+def test_extraction_records_are_parsed_once(spark):
+    """One scan and one parse: each further one costs as much as the whole query."""
+    from folioforge.operators import corpus
+
+    plan = corpus.extraction_records(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("Relation [") == 1
+    assert "regexp_extract(" not in plan
