@@ -92,16 +92,70 @@ def abbreviation(c: DataFrame, corpus: DataFrame, lang: str) -> DataFrame:
     return m.select("from", "into", F.lit("abbreviation").alias("signal"), F.least("p", "q").alias("a_pos"), F.greatest("p", "q").alias("b_pos"))
 
 
+#: Tails up to this length meet by what is left of them without letters, longer ones by thirds.
+SHORT_TAIL = 16
+
+
+def _digitless(c: str) -> Column:
+    return F.regexp_replace(c, r"\d", "")
+
+
+def _without(t: Column, n: int) -> Column:
+    """All that ``t`` becomes without ``n`` of its letters, 0 to 2."""
+    cut = lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1))
+    if n == 0:
+        return F.array(t)
+    if n == 1:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t)), cut))
+    two = lambda i: F.transform(F.sequence(i + 1, F.length(t)), lambda j: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1, j - i - 1), F.substr(t, j + 1)))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(t) - 1), two)))
+
+
+def _tagged(k: Column | int, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct((F.lit(k) if isinstance(k, int) else k).alias("k"), v.alias("v")))
+
+
+def _thirds(tail: Column, l: Column, shifts: tuple[int, ...]) -> Column:  # noqa: E741
+    """The thirds of a tail of a slug of ``l`` letters, where they stand or shifted."""
+    m = F.floor(F.floor(l / 2) / 3).cast("int")
+    size = lambda i: m if i < 2 else F.floor(l / 2).cast("int") - m * 2
+    at = lambda i, s: F.when(m * i + 1 + s >= 1, F.concat(F.lit(f"{i}:"), F.substr(tail, m * i + 1 + s, size(i))))
+    return F.filter(F.array(*[at(i, s) for i in range(3) for s in shifts]), lambda v: v.isNotNull())
+
+
+def _shorter_tails(tail: str, l: str) -> Column:  # noqa: E741
+    """What a tail has in common with each one of 0, 1 or 2 letters more (k) within two edits.
+
+    Of equal lengths both are the same without some two letters; one letter longer, this without one and that without two;
+    two longer, that without two is this. Of three thirds of a longer tail two edits leave one as it is, shifted by -1 to 2.
+    """
+    t, l = F.col(tail), F.col(l)  # noqa: E741
+    return F.when(F.floor(l / 2) <= SHORT_TAIL, F.concat(*[_tagged(k, _without(t, 2 - k)) for k in range(3)])).otherwise(_tagged(9, _thirds(t, l, (0,))))
+
+
+def _longer_tails(tail: str, l: str, k: str) -> Column:  # noqa: E741
+    """The other side of ``_shorter_tails``."""
+    t, l = F.col(tail), F.col(l)  # noqa: E741
+    return F.when(F.floor(l / 2) <= SHORT_TAIL, _tagged(F.col(k), _without(t, 2))).otherwise(_tagged(9, F.array_distinct(_thirds(t, l, (-1, 0, 1, 2)))))
+
+
 def edit_distance(c: DataFrame) -> DataFrame:
     """One or two edits between slugs of ten letters or more that agree in at least half their letters from the start and
     don't differ in digits only; the longer survives, the earlier at equal length."""
     base = c.where(F.length("slug") >= 10).select("pos", "slug", F.length("slug").alias("n"))
-    # blocks are (length of the shorter, its first half): a pair meets in one block only, and needs no distinct
-    keyed = base.withColumn("l", F.explode(F.array(*[F.col("n") - i for i in range(3)]))).where("l >= 10").withColumn("key", F.substr("slug", F.lit(1), F.ceil(F.col("l") / 2).cast("int")))
-    a = keyed.where("n = l").select("l", "key", F.col("pos").alias("x_pos"), F.col("slug").alias("x"))
-    b = keyed.select("l", "key", F.col("pos").alias("y_pos"), F.col("slug").alias("y"), F.col("n").alias("yn"))
-    p = a.join(b, ["l", "key"]).where((F.col("x") != F.col("y")) & ((F.col("yn") > F.col("l")) | (F.col("x_pos") < F.col("y_pos"))))
-    p = p.where(F.levenshtein("x", "y", 2).between(1, 2)).where(F.regexp_replace("x", r"\d", "") != F.regexp_replace("y", r"\d", ""))
+    # blocks are (length of the shorter, its first half); what differs in digits only is no pair, so that a block of numbered
+    # names of one kind has none
+    keyed = base.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).withColumn("l", F.col("n") - F.col("k")).where("l >= 10")
+    half = F.ceil(F.col("l") / 2).cast("int")
+    keyed = keyed.withColumn("head", F.substr("slug", F.lit(1), half)).withColumn("tail", F.substr("slug", half + 1))
+    kinds = keyed.groupBy("l", "head").agg(F.min(_digitless("slug")).alias("lo"), F.max(_digitless("slug")).alias("hi")).where("lo <> hi")
+    keyed = keyed.join(kinds.select("l", "head"), ["l", "head"], "left_semi")
+    key = lambda v: F.xxhash64("l", "head", v["k"], v["v"]).alias("key")
+    a = keyed.where("k = 0").withColumn("v", F.explode(_shorter_tails("tail", "l"))).select(key(F.col("v")), F.col("pos").alias("x_pos"), F.col("slug").alias("x"))
+    b = keyed.withColumn("v", F.explode(_longer_tails("tail", "l", "k"))).select(key(F.col("v")), F.col("pos").alias("y_pos"), F.col("slug").alias("y"))
+    p = a.join(b, "key").where("x <> y").withColumn("l", F.length("x")).withColumn("yn", F.length("y"))
+    p = p.where((F.col("yn") > F.col("l")) | ((F.col("yn") == F.col("l")) & (F.col("x_pos") < F.col("y_pos")))).where(F.substr("x", F.lit(1), half) == F.substr("y", F.lit(1), half))
+    p = p.where(F.levenshtein("x", "y", 2).between(1, 2)).where(_digitless("x") != _digitless("y")).dropDuplicates(["x_pos", "x", "y_pos", "y"])
     into = F.when(F.col("yn") > F.col("l"), F.col("y")).otherwise(F.col("x"))
     other = F.when(F.col("yn") > F.col("l"), F.col("x")).otherwise(F.col("y"))
     return p.select(other.alias("from"), into.alias("into"), F.lit("edit-distance").alias("signal"), F.least("x_pos", "y_pos").alias("a_pos"), F.greatest("x_pos", "y_pos").alias("b_pos"))

@@ -218,3 +218,43 @@ def test_extraction_records_are_parsed_once(spark):
     plan = corpus.extraction_records(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1 and plan.count("Relation [") == 1
     assert "regexp_extract(" not in plan
+
+
+def test_edit_distance_of_short_and_long_slugs(spark):
+    """All pairs by hand, tails of both kinds; numbered names alone don't meet."""
+    import random
+
+    r = random.Random(4)
+    made = set()
+    for n in (10, 11, 15, 31, 34, 35, 60):
+        for _ in range(6):
+            s = "".join(r.choice("abc1") for _ in range(n))
+            made.add(s)
+            for _ in range(6):
+                x = list(s)
+                for _ in range(r.choice((1, 2, 2, 3))):
+                    i = r.randrange(len(x) // 2, len(x))
+                    x[i : i + r.randrange(2)] = r.choice(("", "a", "1", "zz"[: r.randrange(3)]))
+                made.add("".join(x))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    bare = lambda s: "".join(x for x in s if not x.isdigit())
+    want = set()
+    for a in made:
+        for b in made:
+            n = -(-len(a) // 2)
+            if len(a) >= 10 and (len(a) < len(b) or len(a) == len(b) and a < b) and a[:n] == b[:n] and bare(a) != bare(b) and distance(a, b) <= 2:
+                want.add((a, b) if len(b) > len(a) else (b, a))
+    assert len(want) > 200 and any(len(a) > 50 for a, _ in want)
+    df = spark.createDataFrame([(s, s) for s in sorted(made)], "pos string, slug string")
+    got = resolve.edit_distance(df).select("from", "into").collect()
+    assert len(got) == len(want) and {(x["from"], x["into"]) for x in got} == want
+    numbered = df.sparkSession.range(20000).selectExpr("concat('customer-', lpad(id, 9, '0')) as slug").selectExpr("slug as pos", "slug")
+    assert resolve.edit_distance(numbered).count() == 0
