@@ -80,7 +80,7 @@ def collapse(edges: DataFrame, lenient: bool = False) -> tuple[DataFrame, DataFr
     part = connected_components(edges, "from", "into")
     away = edges.select(F.col("from").alias("node")).distinct().withColumn("away", F.lit(True))
     top = edges.select(F.col("into").alias("node")).distinct().withColumn("top", F.lit(True))
-    m = part.join(away, "node", "left").join(top, "node", "left")
+    m = part.join(away.hint("merge"), "node", "left").join(top.hint("merge"), "node", "left")
     lead = F.when(F.col("top") & F.col("away").isNull(), F.col("node"))
     g = m.groupBy("component").agg(F.count(lead).alias("n"), F.min(lead).alias("lead"), F.max("node").alias("last"))
     new = F.when(F.col("n") == 1, F.col("lead")).when(F.lit(lenient), F.col("last"))

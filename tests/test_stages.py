@@ -258,3 +258,14 @@ def test_edit_distance_of_short_and_long_slugs(spark):
     assert len(got) == len(want) and {(x["from"], x["into"]) for x in got} == want
     numbered = df.sparkSession.range(20000).selectExpr("concat('customer-', lpad(id, 9, '0')) as slug").selectExpr("slug as pos", "slug")
     assert resolve.edit_distance(numbered).count() == 0
+
+
+def test_collapse_broadcasts_no_labels(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "`from` long, `into` long")
+    merges, rejected = curate.collapse(edges)
+    assert sorted(map(tuple, merges.collect())) == [(1, 3), (2, 3), (7, 8)] and rejected.count() == 0
+    part = curate.connected_components(edges, "from", "into")
+    m = part.join(edges.select(F.col("from").alias("node")), "node")
+    assert "BroadcastHashJoin" in m._jdf.queryExecution().executedPlan().toString()  # the tables are small enough
+    plan = curate.collapse(edges)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
