@@ -43,11 +43,13 @@ def missing_row_values(pages: DataFrame, tables: DataFrame) -> DataFrame:
     the table's section, or where it has none the page, doesn't contain. A missing subject speaks for its numbers."""
     t = tables.join(pages.select("path", "body"), "path")
     scope = F.coalesce(section_of("body", F.col("file"), F.col("page")), F.col("body"))
-    r = t.select("path", "file", "page", scope.alias("scope"), F.explode(T.row_values("markdown")).alias("row"))
-    r = r.withColumn("gone", ~F.contains(F.col("scope"), F.col("row.subject")))
-    subjects = r.where("gone").select("path", "file", "page", F.col("row.subject").alias("subject"), F.lit(None).cast("string").alias("value"))
-    numbers = r.where("not gone").select("path", "file", "page", F.col("row.subject").alias("subject"), F.explode(F.filter("row.values", lambda v: ~F.contains(F.col("scope"), v))).alias("value"))
-    return subjects.unionByName(numbers)
+    # outer explodes: for inner ones Spark adds a filter by the size of the list, which makes each list twice
+    r = t.select("path", "file", "page", scope.alias("scope"), F.explode_outer(T.row_values("markdown")).alias("row")).where("row is not null")
+    gone = ~F.contains(F.col("scope"), F.col("row.subject"))
+    value = lambda v: F.struct(v.alias("value"))
+    numbers = F.transform(F.filter("row.values", lambda v: ~F.contains(F.col("scope"), v)), value)
+    missing = F.when(gone, F.array(value(F.lit(None).cast("string")))).when(~gone, numbers)
+    return r.select("path", "file", "page", F.col("row.subject").alias("subject"), F.explode_outer(missing).alias("m")).where("m is not null").select("path", "file", "page", "subject", "m.value")
 
 
 def feedback(findings: DataFrame) -> DataFrame:

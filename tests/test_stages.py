@@ -269,3 +269,14 @@ def test_collapse_broadcasts_no_labels(spark):
     assert "BroadcastHashJoin" in m._jdf.queryExecution().executedPlan().toString()  # the tables are small enough
     plan = curate.collapse(edges)[1]._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_row_values_are_read_once(spark):
+    """Once a use: cells are split in one place, and missing values come of one pass over pages and tables."""
+    from folioforge.operators import preserve
+
+    t = spark.createDataFrame([("a", "f", 1, "| h |\n|--|\n| x | 1 |\n| y | 2 and 3 |")], "path string, file string, page int, markdown string")
+    m = preserve.missing_row_values(spark.createDataFrame([("a", "x and 3, y")], "path string, body string"), t)
+    assert sorted((r.subject, r.value) for r in m.collect()) == [("x", "1"), ("y", "2")]
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("Join") == 1
