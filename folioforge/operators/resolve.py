@@ -149,11 +149,12 @@ def edit_distance(c: DataFrame) -> DataFrame:
     half = F.ceil(F.col("l") / 2).cast("int")
     keyed = keyed.withColumn("head", F.substr("slug", F.lit(1), half)).withColumn("tail", F.substr("slug", half + 1))
     kinds = keyed.groupBy("l", "head").agg(F.min(_digitless("slug")).alias("lo"), F.max(_digitless("slug")).alias("hi")).where("lo <> hi")
-    keyed = keyed.join(kinds.select("l", "head"), ["l", "head"], "left_semi")
+    keyed = keyed.join(kinds.select("l", "head").hint("merge"), ["l", "head"], "left_semi")
     key = lambda v: F.xxhash64("l", "head", v["k"], v["v"]).alias("key")
     a = keyed.where("k = 0").withColumn("v", F.explode(_shorter_tails("tail", "l"))).select(key(F.col("v")), F.col("pos").alias("x_pos"), F.col("slug").alias("x"))
     b = keyed.withColumn("v", F.explode(_longer_tails("tail", "l", "k"))).select(key(F.col("v")), F.col("pos").alias("y_pos"), F.col("slug").alias("y"))
-    p = a.join(b, "key").where("x <> y").withColumn("l", F.length("x")).withColumn("yn", F.length("y"))
+    # no broadcast: the keys of a slug take more room than files and shuffles of slugs show
+    p = a.join(b.hint("merge"), "key").where("x <> y").withColumn("l", F.length("x")).withColumn("yn", F.length("y"))
     p = p.where((F.col("yn") > F.col("l")) | ((F.col("yn") == F.col("l")) & (F.col("x_pos") < F.col("y_pos")))).where(F.substr("x", F.lit(1), half) == F.substr("y", F.lit(1), half))
     p = p.where(F.levenshtein("x", "y", 2).between(1, 2)).where(_digitless("x") != _digitless("y")).dropDuplicates(["x_pos", "x", "y_pos", "y"])
     into = F.when(F.col("yn") > F.col("l"), F.col("y")).otherwise(F.col("x"))
