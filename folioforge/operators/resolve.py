@@ -29,7 +29,7 @@ def _pairs(blocked: DataFrame) -> DataFrame:
     """blocked(key, pos, slug, ...) to rows a, b with a before b in a common block."""
     a = blocked.select(F.col("key"), *[F.col(x).alias(f"a_{x}") for x in blocked.columns if x != "key"])
     b = blocked.select(F.col("key"), *[F.col(x).alias(f"b_{x}") for x in blocked.columns if x != "key"])
-    return a.join(b, "key").where((F.col("a_pos") < F.col("b_pos")) & (F.col("a_slug") != F.col("b_slug"))).drop("key").dropDuplicates(["a_pos", "b_pos"])
+    return a.join(b.hint("merge"), "key").where((F.col("a_pos") < F.col("b_pos")) & (F.col("a_slug") != F.col("b_slug"))).drop("key").dropDuplicates(["a_pos", "b_pos"])
 
 
 def _edges(pairs: DataFrame, into: Column, signal: str) -> DataFrame:
@@ -51,7 +51,7 @@ def alias(c: DataFrame, lang: str) -> DataFrame:
     held = c.select(F.col("pos").alias("h_pos"), F.col("slug").alias("h_slug"), F.explode("aliases").alias("al")).withColumn("key", F.lower(T.strip("al")))
     held = held.where((F.length("key") >= 2)).withColumn("al_slug", T.slugify("al", lang))
     named = c.select("pos", "slug", F.lower(T.strip("title")).alias("key"))
-    m = named.join(held, "key").where((F.col("slug") != F.col("h_slug")) & (F.col("al_slug") == F.col("slug")))
+    m = named.join(held.hint("merge"), "key").where((F.col("slug") != F.col("h_slug")) & (F.col("al_slug") == F.col("slug")))
     return m.select(F.col("slug").alias("from"), F.col("h_slug").alias("into"), F.lit("alias").alias("signal"), F.least("pos", "h_pos").alias("a_pos"), F.greatest("pos", "h_pos").alias("b_pos")).distinct()
 
 
@@ -177,7 +177,7 @@ def subsequence(c: DataFrame) -> DataFrame:
     short = tok.select(F.concat_ws("-", F.get("t", F.lit(0)), F.get("t", F.lit(1))).alias("key"), F.col("pos").alias("s_pos"), F.col("slug").alias("s_slug"), F.col("t").alias("s_t"))
     two = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.concat_ws("-", x, y))))
     long = tok.where(F.size("t") >= 3).select(F.explode(F.array_distinct(two)).alias("key"), F.col("pos").alias("l_pos"), F.col("slug").alias("l_slug"), F.col("t").alias("l_t"))
-    p = short.join(long, "key").where((F.col("s_slug") != F.col("l_slug")) & (F.size("s_t") < F.size("l_t")))
+    p = short.join(long.hint("merge"), "key").where((F.col("s_slug") != F.col("l_slug")) & (F.size("s_t") < F.size("l_t")))
     state = F.aggregate("l_t", F.struct(F.lit(0).alias("i"), F.array().cast("array<string>").alias("extra")), lambda s, x: F.when(F.get(F.col("s_t"), s["i"]) == x, F.struct((s["i"] + 1).alias("i"), s["extra"].alias("extra"))).otherwise(F.struct(s["i"].alias("i"), F.concat(s["extra"], F.array(x)).alias("extra"))))
     p = p.withColumn("r", state).where((F.col("r.i") == F.size("s_t")) & ~F.exists("r.extra", lambda x: x.isin(*UNIT_WORDS) | x.rlike(r"^\d+$")))
     return p.select(F.col("l_slug").alias("from"), F.col("s_slug").alias("into"), F.lit("subsequence").alias("signal"), F.least("s_pos", "l_pos").alias("a_pos"), F.greatest("s_pos", "l_pos").alias("b_pos"))
@@ -192,7 +192,7 @@ def initials(c: DataFrame, lang: str) -> DataFrame:
     # meet, and what shares a common word alone doesn't
     k = tok.select(F.explode(F.array_distinct(F.filter("t", lambda x: F.length(x) >= 3))).alias("key"), "pos", "slug", "t")
     side = lambda s, keep: k.select("key", F.explode(F.array_distinct(F.transform(F.filter("t", keep), lambda u: F.substring(u, 1, 1)))).alias("c"), *[F.col(x).alias(f"{s}_{x}") for x in ("pos", "slug", "t")])
-    met = side("x", initial).join(side("y", lambda u: ~initial(u)), ["key", "c"]).where((F.col("x_pos") != F.col("y_pos")) & (F.col("x_slug") != F.col("y_slug")))
+    met = side("x", initial).join(side("y", lambda u: ~initial(u)).hint("merge"), ["key", "c"]).where((F.col("x_pos") != F.col("y_pos")) & (F.col("x_slug") != F.col("y_slug")))
     first = F.col("x_pos") < F.col("y_pos")
     at = lambda f, x: F.when(first == f, F.col(f"x_{x}")).otherwise(F.col(f"y_{x}"))
     p = met.select(*[at(F.lit(s == "a"), x).alias(f"{s}_{x}") for s in "ab" for x in ("pos", "slug", "t")]).dropDuplicates(["a_pos", "b_pos"])
